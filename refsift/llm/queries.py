@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refsift.llm import chat_format, packing, secret_scan
+from refsift.llm import chat_format, packing, pii, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_packing": packing.op2_packing,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op8_pii": pii.op8_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE_SQL,
+    "op6_url_filter": url_filter.ORACLE_SQL,
+    "op8_pii": pii.ORACLE_SQL,
 }
