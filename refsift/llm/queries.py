@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refsift.llm import chat_format, packing, pii, secret_scan, url_filter
+from refsift.llm import chat_format, packing, pii, quality, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_pii": pii.op8_pii,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
