@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refsift.llm import ann, chat_format, packing, pii, quality, secret_scan, url_filter
+from refsift.llm import ann, chat_format, near_dedup, packing, pii, quality, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ann": ann.op4_ann,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
 }
