@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refsift.llm import ann, chat_format, near_dedup, packing, pii, quality, secret_scan, url_filter
+from refsift.llm import ann, chat_format, decontaminate, near_dedup, packing, pii, quality, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_packing": packing.op2_packing,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_ann": ann.op4_ann,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_url_filter": url_filter.op6_url_filter,
