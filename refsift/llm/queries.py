@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refsift.llm import ann, chat_format, decontaminate, near_dedup, packing, pii, quality, secret_scan, url_filter
+from refsift.llm import ann, chat_format, decontaminate, lm_score, near_dedup, packing, pii, quality, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
