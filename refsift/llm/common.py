@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +61,17 @@ def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
 
 
+def kept_rows(docs: DataFrame, predicate: Callable[[list[str]], Iterable[bool]], text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose texts a Python predicate keeps; null texts are shown to it as empty."""
+    at = docs.columns.index(text)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield batch.filter(pa.array(list(predicate([t or "" for t in batch.column(at).to_pylist()])), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def id_fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

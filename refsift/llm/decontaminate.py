@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refsift.llm.common import batches, table, text_rows
+from refsift.llm.common import batches, kept_rows, table, text_rows
 from refsift.llm.shingles import words
 
 K1, B, BLOCK, THRESHOLD, OVERLAP, GRAM = 1.2, 0.75, 8, 0.55, 0.5, 3
@@ -173,14 +173,26 @@ _HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa
 _HITS_DDL = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
-    """doc_id, item_id, score and overlaps for every document and test item that it holds."""
+def indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
+    """An index for each shard of the benchmark."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"))
     shards = max(1, math.ceil(items.count() / SHARD_ITEMS))
-    found = None
     for shard in range(shards):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()
-        index = ItemIndex(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0], r[1])))
+        yield ItemIndex(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
+    """docs without the rows whose text holds a test item."""
+    for index in indexes(benchmark):
+        docs = kept_rows(docs, lambda texts, index=index: [not search(t, index, threshold, least) for t in texts])
+    return docs
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
+    """doc_id, item_id, score and overlaps for every document and test item that it holds."""
+    found = None
+    for index in indexes(benchmark):
 
         def run(source: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             def hits() -> Iterator[tuple]:

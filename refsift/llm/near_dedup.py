@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refsift.llm.common import dropped, stored, table, text_rows
 from refsift.llm.components import components
@@ -209,7 +210,7 @@ def proposed(members: DataFrame, labels: DataFrame, signatures: DataFrame, best:
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id) and node of every row."""
+    """doc_id, class_id (the class's smallest doc_id), node and kept (whether the row stands for its class) of every row."""
     sketched = stored(sketches(docs))
     nodes = sketched.filter(F.col("bands").isNotNull()).dropDuplicates(["node"])
     placed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -242,8 +243,36 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
         rows = rows.withColumn("component", F.col("node"))
     else:
         rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(named, "component").select("doc_id", "class_id", "node")
+    # The smallest id of all; without any, the smallest node.
+    named = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    return rows.join(named, "component").select("doc_id", F.col("first.doc_id").alias("class_id"), "node", is_first.alias("kept"))
+
+
+def unique_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of docs for each class, that with its smallest doc_id; all columns stay.
+
+    Rows to drop are known by id and node. The set is broadcast up to BROADCAST_ROWS and joined by shuffle
+    beyond; texts are shuffled for repeated rows alone.
+    """
+    classes = stored(duplicate_classes(docs, threshold))
+    side = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    own = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+
+    def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([normal_key(t, words(t)) for t in batch.column(2).to_pylist()], pa.binary())], ["row", "doc_id", "node"])
+
+    rows = own.mapInArrow(keyed, T.StructType([own.schema["row"], T.StructField("doc_id", T.LongType()), T.StructField("node", T.BinaryType())]))
+    same = lambda other: rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["node"] == other["node"])
+    gone = side(classes.filter("NOT kept").select("doc_id", "node").distinct())
+    rows = rows.join(gone, same(gone), "left_anti")
+    repeated = stored(classes.filter("kept").groupBy("doc_id", "node").count().filter("count > 1").select("doc_id", "node"))
+    if not repeated.isEmpty():
+        twice = side(repeated)
+        once = rows.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "node"])
+        rows = rows.join(twice, same(twice), "left_anti").unionByName(once)
+    return rows.select("row.*")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, wanted: DataFrame, side) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refsift.llm.common import id_fold, stored, table, text_rows
+from refsift.llm.common import id_fold, kept_rows, stored, table, text_rows
 
 FEATURES, RIDGE, SEED, BINS = 256, 1e-3, 20240, 1024
 MAX_TRAIN_ROWS, TRAIN_PARTITIONS = 200_000, 32
@@ -209,11 +209,21 @@ def scored(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return out.select("doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD_FOLD).alias("held_out"), "score", "predicted")
 
 
+def fitted(stats: DataFrame, labels: DataFrame) -> Model:
+    rows = stored(labelled_rows(stats, labels))
+    return train(rows.coalesce(TRAIN_PARTITIONS))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """docs without the rows scored below the threshold; each row is judged by its own text."""
+    model = fitted(stored(document_statistics(docs)), labels)
+    return kept_rows(docs, lambda texts: model.score(np.array([statistics(t.encode()) for t in texts]).reshape(-1, N_STATS)) >= threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     stats = stored(document_statistics(docs))
-    rows = stored(labelled_rows(stats, labels))
-    return scored(stats, train(rows.coalesce(TRAIN_PARTITIONS)), threshold)
+    return scored(stats, fitted(stats, labels), threshold)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
