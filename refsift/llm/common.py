@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -56,20 +59,49 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of an Arrow batch, so that what a Python worker holds doesn't follow the length of texts.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"-?\d+", spark.conf.get(key))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Run) -> Run:
+    """run, and after it memory given back: Python workers outlive their tasks, and share the executor's memory."""
+
+    def trimmed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(source)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return trimmed
+
+
 def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only (doc_id, text), null texts as empty ones; other columns, whatever their names, don't matter."""
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
 
 
 def kept_rows(docs: DataFrame, predicate: Callable[[list[str]], Iterable[bool]], text: str = "text") -> DataFrame:
     """The rows of docs, with all columns, whose texts a Python predicate keeps; null texts are shown to it as empty."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             yield batch.filter(pa.array(list(predicate([t or "" for t in batch.column(at).to_pylist()])), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def id_fold(doc_id: Column, mod: int) -> Column:

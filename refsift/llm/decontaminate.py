@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refsift.llm.common import batches, kept_rows, table, text_rows
+from refsift.llm.common import batches, kept_rows, lean, table, text_rows
 from refsift.llm.shingles import words
 
 K1, B, BLOCK, THRESHOLD, OVERLAP, GRAM = 1.2, 0.75, 8, 0.55, 0.5, 3
@@ -203,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
             yield from batches(hits(), _HITS)
 
-        part = text_rows(docs).mapInArrow(run, _HITS_DDL)
+        part = text_rows(docs).mapInArrow(lean(run), _HITS_DDL)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refsift.llm.common import dropped, stored, table, text_rows
+from refsift.llm.common import bounded_batches, dropped, lean, stored, table, text_rows
 from refsift.llm.components import components
 from refsift.llm.shingles import WordHashes, mixed, normal_key, probability_jaccard, shingles, text_shingles, weighted, words
 
@@ -115,7 +115,7 @@ def _sketches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, node (16 bytes, equal for texts of equal words), bands and signature of every row."""
-    return text_rows(docs).mapInArrow(_sketches, _SKETCH_DDL)
+    return text_rows(docs).mapInArrow(lean(_sketches), _SKETCH_DDL)
 
 
 def _verified(source: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b) those whose texts (node, text) are similar."""
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(lambda it: _verified(it, threshold), "a binary, b binary")
+    return both.select("a", "text_a", "b", "text_b").mapInArrow(lean(lambda it: _verified(it, threshold)), "a binary, b binary")
 
 
 def _proposed(source: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def proposed(members: DataFrame, labels: DataFrame, signatures: DataFrame, best:
     one = rows.select("band", "key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "node", "component", "signature")
     all_ = rows.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "node", "component", "signature")
     dealt = one.unionByName(all_).repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "kind")
-    return dealt.mapInArrow(lambda it: _proposed(it, best), "a binary, b binary").distinct()
+    return dealt.mapInArrow(lean(lambda it: _proposed(it, best)), "a binary, b binary").distinct()
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,13 +257,14 @@ def unique_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """
     classes = stored(duplicate_classes(docs, threshold))
     side = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
     def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([normal_key(t, words(t)) for t in batch.column(2).to_pylist()], pa.binary())], ["row", "doc_id", "node"])
 
-    rows = own.mapInArrow(keyed, T.StructType([own.schema["row"], T.StructField("doc_id", T.LongType()), T.StructField("node", T.BinaryType())]))
+    rows = own.mapInArrow(lean(keyed), T.StructType([own.schema["row"], T.StructField("doc_id", T.LongType()), T.StructField("node", T.BinaryType())]))
     same = lambda other: rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["node"] == other["node"])
     gone = side(classes.filter("NOT kept").select("doc_id", "node").distinct())
     rows = rows.join(gone, same(gone), "left_anti")
@@ -284,7 +285,7 @@ def _texts(docs: DataFrame, ids: DataFrame, wanted: DataFrame, side) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], ["doc_id", "node", "text"])
 
     kept = side(ids.join(wanted, "node", "left_semi"))
-    rows = text_rows(docs).mapInArrow(keyed, "doc_id long, node binary, text string")
+    rows = text_rows(docs).mapInArrow(lean(keyed), "doc_id long, node binary, text string")
     found = rows.join(kept.withColumnRenamed("doc_id", "kept"), "node").filter(F.col("doc_id").eqNullSafe(F.col("kept")))
     return found.select("node", "text").dropDuplicates(["node"])
 

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from refsift.llm.common import batches, table, text_rows
+from refsift.llm.common import batches, lean, table, text_rows
 
-#: Words whose encodings a worker keeps.
-CACHE_WORDS = 600_000
+#: Words whose encodings a task keeps.
+CACHE_WORDS = 400_000
 
 
 #: The characters that stand for bytes in byte-level vocabularies: printable Latin-1 as itself, the rest from 256 up.
@@ -106,16 +106,6 @@ class _Words(dict):
             self.clear()
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 class Packer:
     """The windows of one partition. Pieces are (doc_id, start, ids, doc_tokens)."""
 
@@ -186,7 +176,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, open_window
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 33, capacity, open_windows)
-        encode = encoder(tokenizer_path).encode
+        encode = WordEncoder(tokenizer_path).encode
 
         def rows() -> Iterator[tuple]:
             for batch in source:
@@ -201,7 +191,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, open_window
             yield from batches((r[:7] for r in rows()), PIECES)
 
     source = text_rows(docs)
-    return source.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, PIECES_DDL + ", input_ids array<int>" * with_ids)
+    return source.select("doc_id", F.col("text").cast("binary")).mapInArrow(lean(run), PIECES_DDL + ", input_ids array<int>" * with_ids)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

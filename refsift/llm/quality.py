@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refsift.llm.common import id_fold, kept_rows, stored, table, text_rows
+from refsift.llm.common import id_fold, kept_rows, lean, stored, table, text_rows
 
 FEATURES, RIDGE, SEED, BINS = 256, 1e-3, 20240, 1024
 MAX_TRAIN_ROWS, TRAIN_PARTITIONS = 200_000, 32
@@ -94,7 +94,7 @@ def _statistics_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and stats (array of N_STATS doubles) of every row."""
-    return text_rows(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(_statistics_batches, "doc_id long, stats array<double>")
+    return text_rows(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(lean(_statistics_batches), "doc_id long, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

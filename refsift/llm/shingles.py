@@ -19,7 +19,7 @@ def words(text: str) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes by word, kept in two generations of bounded size."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.old = limit, {}
 
     def __missing__(self, word: bytes) -> int:
