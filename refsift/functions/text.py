@@ -138,7 +138,7 @@ def html_unescape(text: pd.Series) -> pd.Series:
 
 def strip_html(text: Column) -> Column:
     """Entities resolved, then tags dropped, then white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html_unescape(text), r"(?s)<[^>]+>", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(html_unescape(text), r"(?s)<[^>]+>", ""), r"(?U)\s+", " "))
 
 
 # Identifiers

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refsift.functions.text import title_key
-from refsift.operators.entries import field, field_text, link_url, mentions
+from refsift.functions.text import title_key, year_in
+from refsift.operators.entries import field_text, link_url, mentions
 from refsift.schema import REGISTRY_DDL
 
 
@@ -36,8 +36,8 @@ DEFAULT_SOURCES = (
     Source("neurips", authoritative=True, venues=("neurips", "nips", "neural information processing systems", "papers.nips.cc")),
     Source("icml", authoritative=True, venues=("icml", "international conference on machine learning")),
     Source("acl", authoritative=True, venues=("acl", "annual meeting of the association for computational linguistics")),
-    Source("emnlp", authoritative=True, venues=("emnlp", "empirical methods in natural language processing")),
-    Source("cvpr", authoritative=True, venues=("cvpr", "computer vision and pattern recognition")),
+    Source("emnlp", authoritative=True, venues=("emnlp", "conference on empirical methods in natural language processing")),
+    Source("cvpr", authoritative=True, venues=("cvpr", "conference on computer vision and pattern recognition")),
     Source("iccv", authoritative=True, venues=("iccv", "international conference on computer vision")),
     Source("eccv", authoritative=True, venues=("eccv", "european conference on computer vision")),
     Source("acl_anthology", authoritative=True),
@@ -45,6 +45,8 @@ DEFAULT_SOURCES = (
     Source("openreview", authoritative=True),
     Source("github", academic=False, identifier_lookup=True),
 )
+#: Official sources that are asked by year, and not for findings.
+YEARLY = ("acl", "emnlp")
 SEMANTIC_SCHOLAR = Source("semanticscholar", identifier_lookup=True)
 
 
@@ -74,14 +76,16 @@ def applies(source: Source) -> Column:
     if source.name == "dblp":
         return (field_text("doi") == "") & (field_text("arxiv_id", "arxiv", "eprint") == "") & (venue_text() == "")
     if source.name == "acl_anthology":
-        return F.contains(journal, F.lit("tacl")) | F.contains(journal, F.lit("transactions of the association for computational linguistics"))
+        return F.contains(journal, F.lit("tacl")) | F.contains(journal, F.lit("transactions of the association"))
     if source.name == "jmlr":
         return F.contains(journal, F.lit("jmlr")) | F.contains(journal, F.lit("journal of machine learning research"))
     if source.name == "openreview":
-        return title_key(F.coalesce(field("booktitle", "journal", "venue", "url"), F.lit(""))).rlike(r"\b(?:iclr|colm|openreview|international conference on learning representations|conference on language modeling)\b")
+        return F.lower(field_text("booktitle", "journal", "venue", "url")).rlike(r"conference on language modeling|international conference on learning representations|colm|iclr|openreview\.net")
     if source.venues:
         words = "|".join(" ".join("".join(c if c.isalnum() else " " for c in v).split()) for v in source.venues)
-        return title_key(venue_text()).rlike(rf"\b(?:{words})\b")
+        named = title_key(venue_text()).rlike(rf"\b(?:{words})\b")
+        dated = year_in(field_text("year")).isNotNull() & ~F.contains(venue_text(), F.lit("findings"))
+        return named & dated if source.name in YEARLY else named
     return F.lit(True)
 
 

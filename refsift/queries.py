@@ -337,11 +337,11 @@ def entry_cap(spark, sf_dir):
 
 
 @query(
-    "SELECT p_partkey::VARCHAR AS key, source FROM part, (VALUES ('datacite', -1), ('openalex', -1), ('crossref', -1), ('arxiv', -1), ('neurips', 0), ('iclr', 1), ('openreview', 1), ('acl_anthology', 2), ('acl', 2), ('emnlp', 3), ('jmlr', 5), ('acl', 7), ('icml', 8), ('cvpr', 10), ('eccv', 11)) v(source, n) WHERE (n = -1 OR p_partkey % 13 = n) AND NOT (source = 'acl' AND n = 2)"
+    "SELECT p_partkey::VARCHAR AS key, source FROM part, (VALUES ('datacite', -1), ('openalex', -1), ('crossref', -1), ('arxiv', -1), ('neurips', 0), ('iclr', 1), ('openreview', 1), ('acl_anthology', 2), ('acl', 2), ('jmlr', 5), ('acl', 7), ('icml', 8), ('cvpr', 10), ('eccv', 11)) v(source, n) WHERE (n = -1 OR p_partkey % 13 = n) AND NOT (source = 'acl' AND n = 2)"
 )
 def source_applies(spark, sf_dir):
     venue = F.get(F.array(*[F.lit(v) for v in _VENUES]), (F.col("p_partkey") % 13).cast("int"))
-    entries = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.create_map(F.lit("title"), F.col("p_name"), F.lit("booktitle"), venue, F.lit("journal"), venue).alias("fields"))
+    entries = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.create_map(F.lit("title"), F.col("p_name"), F.lit("year"), F.lit("2021"), F.lit("booktitle"), venue, F.lit("journal"), venue).alias("fields"))
     return calls(entries).select("key", "source")
 
 
