@@ -11,11 +11,10 @@ agree in one of BANDS bands of ROWS registers share a bucket: 0.8 similar ones m
 probability 5e-5. Links are then sought without listing the pairs of a bucket:
 - every node is verified against the smallest node of each of its buckets, and links are joined to
   components;
-- buckets that still hold several components are dealt in blocks, members stream past, and
-  signatures propose, for each node and each other component, its best few partners;
-- last, all pairs of different components whose signatures agree well enough to be similar at
-  four standard deviations are verified, so that nothing depends on the few above.
-Verified is always the exact similarity of both texts' shingles.
+- buckets that still hold several components are dealt in blocks, and their members stream past: every
+  pair of different components whose signatures agree well enough to be similar at four standard
+  deviations is verified on the spot, in the first band that it shares, unless links found meanwhile have joined it.
+Verified is always the exact similarity of both texts' shingles, and only links leave a task.
 
 Plan: one pass over the texts writes a node, band keys and a signature for each document; other
 passes read those columns alone. Texts are needed again only for nodes in shared buckets: a semi-join,
@@ -46,7 +45,7 @@ from refsift.llm.shingles import WordHashes, mixed, normal_key, probability_jacc
 REGISTERS, BANDS, ROWS, THRESHOLD = 128, 25, 5, 0.8
 #: Signatures of pairs as similar as the threshold agree in less than this with probability 5e-5.
 LEAST_AGREEMENT = 0.66
-BEST, BLOCK_ROWS, BROADCAST_ROWS = 3, 2048, 1_000_000
+BLOCK_ROWS, BLOCK_CHARS, BROADCAST_ROWS = 2048, 16 << 20, 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,68 +144,117 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "text_a", "b", "text_b").mapInArrow(lean(lambda it: _verified(it, threshold)), "a binary, b binary")
 
 
-def _proposed(source: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (band, key, block, kind, node, component, signature): a block's members first, then all of its bucket."""
-    held, block, ready = None, [], None
-
-    def pairs(rows: list[tuple], sig: np.ndarray, comp: np.ndarray) -> Iterator[tuple]:
-        mine = np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(len(rows), -1)
-        agree = np.zeros((len(rows), len(sig)), np.int16)
-        for k in range(mine.shape[1]):
-            agree += mine[:, k, None] == sig[None, :, k]
-        least = LEAST_AGREEMENT * mine.shape[1]
-        for i, (node, component, _) in enumerate(rows):
-            near = [j for j in np.flatnonzero(agree[i] >= least) if comp[j] != component]
-            if best is not None and len(near) > best:
-                by: dict[bytes, list[int]] = {}
-                for j in sorted(near, key=lambda j: -agree[i, j]):
-                    if len(mates := by.setdefault(comp[j], [])) < best:
-                        mates.append(j)
-                near = [j for mates in by.values() for j in mates]
-            for j in near:
-                other = block[j][0]
-                yield (node, other) if node > other else (other, node)
+def _agreement(mine: np.ndarray, others: np.ndarray, band: int) -> np.ndarray:
+    """In how many registers each of mine agrees with each of the others; none for pairs that share an
+    earlier band, as they meet there too."""
+    agree = np.zeros((len(mine), len(others)), np.int16)
+    for k in range(band * ROWS):
+        same = mine[:, k, None] == others[None, :, k]
+        agree += same
+        if k % ROWS == 0:
+            whole = same
+        else:
+            whole &= same
+        if k % ROWS == ROWS - 1:
+            agree[whole] = -REGISTERS - 1
+    for k in range(band * ROWS, mine.shape[1]):
+        agree += mine[:, k, None] == others[None, :, k]
+    return agree
+
+
+def _buckets(source: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tuple[int, list[tuple], list[tuple], np.ndarray]]:
+    """Rows (band, key, block, kind, ...), a block's members first, then all of its bucket, as (band, block,
+    rows of the bucket, agreement of these with the block). The signature is the last but one of what follows."""
+    held, block, ready, stream = None, [], None, []
+
+    def signatures(rows: list[tuple]) -> np.ndarray:
+        return np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(len(rows), -1)
 
     for batch in source:
-        out: set[tuple] = set()
-        cols = [c.to_pylist() for c in batch.columns]
-        stream: list[tuple] = []
-
-        def flush() -> None:
-            if stream and block:
-                out.update(pairs(stream, *ready))
-            stream.clear()
-
-        for band, key, number, kind, node, component, sig in zip(*cols, strict=True):
+        for band, key, number, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (band, key, number) != held or len(stream) >= chunk:
+                if stream and block:
+                    ready = signatures(block) if ready is None else ready
+                    yield held[0], block, stream, _agreement(signatures(stream), ready, held[0])
+                stream = []
             if (band, key, number) != held:
-                flush()
                 held, block, ready = (band, key, number), [], None
-            if kind == 0:
-                block.append((node, component, sig))
-                continue
-            if ready is None:
-                ready = np.frombuffer(b"".join(r[2] for r in block), "<u4").reshape(len(block), -1), [r[1] for r in block]
-            stream.append((node, component, sig))
-            if len(stream) >= 256:
-                flush()
-        flush()
-        if out:
-            a, b = zip(*sorted(out), strict=True)
+            (stream if kind else block).append(tuple(row))
+    if stream and block:
+        yield held[0], block, stream, _agreement(signatures(stream), signatures(block) if ready is None else ready, held[0])
+
+
+_LEAST = int(np.ceil(LEAST_AGREEMENT * REGISTERS))
+
+
+def _active(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of the rows (node, component, signature) agree with one of another component: their band and node."""
+    for band, block, stream, agree in _buckets(source):
+        apart = np.array([r[1] for r in stream], object)[:, None] != np.array([r[1] for r in block], object)[None, :]
+        near = (agree >= _LEAST) & apart
+        nodes = sorted({stream[i][0] for i in np.flatnonzero(near.any(axis=1))} | {block[j][0] for j in np.flatnonzero(near.any(axis=0))})
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array([band] * len(nodes), pa.int32()), pa.array(nodes, pa.binary())], ["band", "node"])
+
+
+def _links(source: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Verified links between the components of a bucket, from rows (node, component, signature, text). Pairs
+    that earlier links have joined are left out, so there are fewer links than rows."""
+    hashes = WordHashes()
+    held, bags, parent = None, {}, {}
+
+    def bag(row: tuple) -> tuple:
+        if row[0] not in bags:
+            bags[row[0]] = text_shingles(row[3], hashes)
+        return bags[row[0]]
+
+    def root(component: bytes) -> bytes:
+        while parent.get(component, component) != component:
+            component = parent[component]
+        return component
+
+    for _, block, stream, agree in _buckets(source):
+        if block is not held:
+            held, bags, parent = block, {}, {}
+        found = []
+        for i, row in enumerate(stream):
+            near = np.flatnonzero(agree[i] >= _LEAST)
+            for j in near[np.argsort(-agree[i][near], kind="stable")]:
+                other = block[j]
+                if row[0] < other[0] and root(row[1]) != root(other[1]) and probability_jaccard(bag(row), bag(other)) >= threshold:
+                    found.append((other[0], row[0]))
+                    parent[root(other[1])] = root(row[1])
+        if len(bags) > 2 * len(block) + 1024:
+            bags.clear()
+        if found:
+            a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def proposed(members: DataFrame, labels: DataFrame, signatures: DataFrame, best: int | None) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree; the best few of each node
-    with each component, or all. members: band, key, node."""
-    known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = stored(known)
+def remaining_links(members: DataFrame, labels: DataFrame, signatures: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components of one bucket. members: band, key and node.
+
+    Signatures alone first tell which nodes have a partner that may be similar; only these are dealt again,
+    with their texts, and pairs are verified where their bucket is, so that no pair is ever a row.
+    """
+    known = stored(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     # Buckets of two have been verified with their smallest node.
     several = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("n > 2 AND low != high")
-    rows = known.join(several.select("band", "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), ["band", "key"]).join(signatures, "node")
-    one = rows.select("band", "key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "node", "component", "signature")
-    all_ = rows.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "node", "component", "signature")
-    dealt = one.unionByName(all_).repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "kind")
-    return dealt.mapInArrow(lean(lambda it: _proposed(it, best)), "a binary, b binary").distinct()
+
+    def dealt(rows: DataFrame, sizes: DataFrame, *columns: str) -> DataFrame:
+        placed = rows.join(sizes.select("band", "key", "blocks"), ["band", "key"])
+        one = placed.select("band", "key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), *columns)
+        each = placed.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), *columns)
+        return one.unionByName(each).repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "kind")
+
+    blocks = lambda n: F.ceil(n).cast("int").alias("blocks")
+    first = dealt(known.join(signatures, "node"), several.select("band", "key", blocks(F.col("n") / BLOCK_ROWS)), "node", "component", "signature")
+    active = first.mapInArrow(lean(_active), "band int, node binary").distinct()
+    rows = stored(known.join(active, ["band", "node"]))
+    whole = rows.join(signatures, "node").join(texts, "node")
+    sizes = rows.join(texts.select("node", F.length("text").alias("chars")), "node").groupBy("band", "key").agg(blocks(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("chars") / BLOCK_CHARS)))
+    second = dealt(whole, sizes, "node", "component", "signature", "text")
+    return second.mapInArrow(lean(lambda it: _links(it, threshold)), "a binary, b binary").distinct()
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -226,16 +274,10 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
         signatures = stored(signatures)
         texts = stored(_texts(docs, ids, wanted, side))
         tried = stored(members.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-        links = stored(verified(tried, texts, threshold))
-        labels = components(links)
-        for best in (BEST, None):
-            more = stored(proposed(members.select("band", "key", "node"), labels, signatures, best).join(tried, ["a", "b"], "left_anti"))
-            if more.isEmpty():
-                continue
-            found = stored(verified(more, texts, threshold))
-            tried = tried.unionByName(more)
-            if not found.isEmpty():
-                labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        labels = components(stored(verified(tried, texts, threshold)))
+        found = stored(remaining_links(members.select("band", "key", "node"), labels, signatures, texts, threshold))
+        if not found.isEmpty():
+            labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         for done in (texts, signatures):
             dropped(done)
     rows = sketched.select("doc_id", "node")
