@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refsift.functions import text as T
-from refsift.functions.authors import compare_by_score, is_marker_wide, match_by_score, people, score_by_score, truncated
+from refsift.functions.authors import compare_by_score, is_marker_wide, match_by_score, people, score_by_score, status_by_score, truncated, unlike
 from refsift.functions.similarity import similarity_of_normal
 from refsift.operators.entries import field, field_text
 from refsift.operators.scoring import same_identifier
@@ -60,9 +60,12 @@ def assessed(rows: DataFrame, with_ratio: bool = True) -> DataFrame:
         similarity_of_normal(F.col("_n"), F.col("_cn"), with_ratio).alias("_title"),
     )
     three = two.select("*", (F.col("_said") | F.coalesce(F.col("c.author_total") > F.size("_a"), F.lit(False))).alias("_acut"), match_by_score(F.col("_e"), F.col("_a")).alias("_pairs"))
-    four = three.select(
+    sides = [F.col(x) for x in ("_e", "_a", "_pairs", "_ecut", "_acut")]
+    apart = three.select("*", unlike(*sides[:3], all_moves=True).alias("_unlike"))
+    judged = apart.select("*", status_by_score(*sides, F.col("_unlike")).alias("_status"))
+    four = judged.select(
         "*",
-        compare_by_score(F.col("_e"), F.col("_a"), F.col("_pairs"), F.col("_ecut"), F.col("_acut")).alias("_cmp"),
+        compare_by_score(*sides, F.col("_unlike"), F.col("_status")).alias("_cmp"),
         score_by_score(F.col("_e"), F.col("_a"), F.col("_pairs"), F.col("_ecut") | F.col("_acut")).alias("_author"),
         (
             same_identifier(T.normal_doi(field_text("doi")), T.normal_doi(F.col("_doi")))
@@ -70,7 +73,7 @@ def assessed(rows: DataFrame, with_ratio: bool = True) -> DataFrame:
         ).alias("_id"),
     )
     title, author, year = F.col("_title"), F.col("_author"), F.col("_year")
-    five = four.withColumn("_conflict", F.col("_id") & ((title < 0.55) | (F.col("_cmp.status") == "major_mismatch")))
+    five = four.withColumn("_conflict", F.col("_id") & ((title < 0.55) | (F.col("_status") == "major_mismatch")))
     plain = evidence_score(title, (F.col("_n") != "") & (F.col("_cn") != ""), author, year)
     plain = F.when(author.isNull() & (title >= 0.95), F.least(plain, F.lit(0.86))).otherwise(plain)
     score = F.when(F.col("_id"), 0.72 + 0.20 * title + 0.08 * F.coalesce(author, F.lit(0.5))).otherwise(plain) * F.when(F.col("_conflict"), 0.35).otherwise(1.0)
@@ -84,7 +87,7 @@ def assessed(rows: DataFrame, with_ratio: bool = True) -> DataFrame:
             year.alias("year_score"),
             F.col("_id").alias("identifier_match"),
             F.col("_conflict").alias("identifier_conflict"),
-            confidence(F.col("_id"), F.col("_conflict"), title, F.col("_cmp.status"), year).alias("confidence"),
+            confidence(F.col("_id"), F.col("_conflict"), title, F.col("_status"), year).alias("confidence"),
             F.col("_cmp").alias("author_comparison"),
             rich.alias("richness"),
             T.normal_doi(F.col("_doi")).alias("doi"),
@@ -136,10 +139,12 @@ def consolidated(rows: DataFrame, with_ratio: bool = True) -> DataFrame:
     measured = pairs.select("key", "rank", "b_rank", "doi", "b_doi", "arxiv", "b_arxiv", "y", "b_y", similarity_of_normal(F.col("b_t"), F.col("t"), with_ratio).alias("alike"), right.alias("e"), left.alias("o"),
                             truncated(F.coalesce("b_names", none), is_marker_wide).alias("ecut"), truncated(F.coalesce("names", none), is_marker_wide).alias("ocut"))
     matched = measured.select("*", match_by_score(F.col("e"), F.col("o")).alias("p"))
-    status = compare_by_score(F.col("e"), F.col("o"), F.col("p"), F.col("ecut"), F.col("ocut"))["status"]
+    matched = matched.select("*", unlike(F.col("e"), F.col("o"), F.col("p"), all_moves=True).alias("u"))
+    status = status_by_score(*[F.col(x) for x in ("e", "o", "p", "ecut", "ocut", "u")])
     works = (F.col("alike") >= 0.94) & T.years_compatible(F.col("y"), F.col("b_y")) & ((F.size("e") == 0) | (F.size("o") == 0) | (status != "major_mismatch"))
     same = F.when((F.col("doi") != "") & (F.col("b_doi") != ""), F.col("doi") == F.col("b_doi")).when((F.col("arxiv") != "") & (F.col("b_arxiv") != ""), F.col("arxiv") == F.col("b_arxiv")).otherwise(works)
-    linked = matched.filter(same).groupBy("key", F.col("b_rank").alias("rank")).agg(F.collect_list("rank").alias("linked"))
+    # Not a filter: it would be pushed below all the steps, and spell them out at each of its references.
+    linked = matched.groupBy("key", F.col("b_rank").alias("rank")).agg(F.collect_list(F.when(same, F.col("rank"))).alias("linked"))
     groups = (
         order.select("key", "rank").join(linked, ["key", "rank"], "left").groupBy("key")
         .applyInPandas(lambda rows: next(_grouped(iter([rows.sort_values("rank")]))), "key string, rank int, group_no int")

@@ -92,8 +92,12 @@ def compared(spark, expected, actual, by_score=False):
     match = A.match_by_score if by_score else A.match_in_order
     held = held.withColumn("p", match(F.col("e"), F.col("a")))
     e, a, p = (F.col(c) for c in "eap")
-    compare = A.compare_by_score(e, a, p, F.col("xc"), F.col("yc")) if by_score else A.compare_in_order(e, a, p, F.col("xc"))
-    return held.select(compare.alias("c")).first()["c"]
+    if not by_score:
+        return held.select(A.compare_in_order(e, a, p, F.col("xc")).alias("c")).first()["c"]
+    sides = e, a, p, F.col("xc"), F.col("yc")
+    held = held.select("*", A.unlike(e, a, p, all_moves=True).alias("u"))
+    held = held.select("*", A.status_by_score(*sides, F.col("u")).alias("s"))
+    return held.select(A.compare_by_score(*sides, F.col("u"), F.col("s")).alias("c")).first()["c"]
 
 
 def test_authors_in_order(spark):
