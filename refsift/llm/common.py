@@ -54,11 +54,6 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Rows and bytes of an Arrow batch, so that what a Python worker holds doesn't follow the length of texts.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
