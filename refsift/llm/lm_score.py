@@ -9,7 +9,7 @@ class a word's probability is its smoothed share of the class's training tokens;
 class takes the rest, so the whole sums to one.
 
 The weights are trained by distributed gradient updates: each of up to LEARNERS partitions runs
-AdaGrad over its training texts, at one position in POSITION_STRIDE of every one of them, and rows of the weight
+AdaGrad over its training texts, at every position of every one of them, and rows of the weight
 tables are averaged by how often they were updated, in groups of one row block. Scores come from
 numpy batches of sparse features.
 
@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refsift.llm.common import id_fold, id_fold_py, lean, stored, table, text_rows
+from refsift.llm.common import id_fold, lean, stored, table, text_rows
 
 FOLDS, HELD_FOLD, ALPHA = 10, 0, 0.1
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES, SUFFIX = 64, 64, 32, 3
-LOOKUP_WORDS, LEARNERS, POSITION_STRIDE = 200_000, 256, 8
+LOOKUP_WORDS, LEARNERS = 200_000, 256
 CLASS_BUCKETS, WORD_BUCKETS, BLOCK, RATE, BATCH = 8192, 512, 64, 0.3, 1024
 END = b"\n"  # no word can hold it
 N_CLASSES = HEAD_CLASSES + TAIL_CLASSES + 1
@@ -216,28 +216,49 @@ class Learner:
         self.energy = [np.full(CLASS_BUCKETS, 1e-3), np.full(len(self.words), 1e-3)]
 
     def _step(self, which: int, table_: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        held, inverse, count = np.unique(rows, return_inverse=True, return_counts=True)
-        order = np.argsort(inverse, kind="stable")
-        summed = np.add.reduceat(gradient[order], np.concatenate([[0], np.cumsum(count)[:-1]]), axis=0)
+        """rows: for each feature the rows of the positions, which gradient has one by one."""
+        held, count, summed = _summed(rows, gradient)
         self.seen[which][held] += count
-        self.energy[which][held] += (summed * summed).sum(axis=1)
-        table_[held] -= (RATE / np.sqrt(self.energy[which][held]))[:, None].astype(np.float32) * summed
+        self.energy[which][held] += np.einsum("ij,ij->i", summed, summed)
+        summed *= (RATE / np.sqrt(self.energy[which][held]))[:, None].astype(np.float32)
+        table_[held] -= summed
 
     def learn(self, target: np.ndarray, at: np.ndarray, features: np.ndarray) -> None:
         m = self.model
         f = m.class_features(features)
         p = np.exp(m.class_logs(f))
         p[np.arange(len(target)), target] -= 1
-        for row in f:
-            self._step(0, m.by_class, row, p)
+        self._step(0, m.by_class, f, p)
         head = np.flatnonzero(at >= 0)
         if len(head):
             g = m.word_features(features[:, head])
             classes = target[head]
             p = np.exp(m.word_logs(g, classes))
             p[np.arange(len(head)), at[head]] -= 1
-            for row in g:
-                self._step(1, self.words, row * HEAD_CLASSES + classes, p)
+            self._step(1, self.words, g * HEAD_CLASSES + classes, p)
+
+
+def _summed(rows: np.ndarray, gradient: np.ndarray, long: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, how often each occurs and the sum of its gradients. Rows of up to `long` occurrences are
+    summed occurrence by occurrence, all at once; np.add.reduceat takes several times as long."""
+    n = rows.size
+    keys = rows.ravel() * n + np.arange(n)
+    keys.sort()
+    rows, at = keys // n, keys % n % len(gradient)
+    start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    count = np.diff(np.append(start, n))
+    order = np.argsort(-count, kind="stable")
+    start, count = start[order], count[order]
+    summed = gradient.take(at[start], axis=0)
+    many = int(np.searchsorted(-count, -long))
+    for i in range(many):
+        summed[i] = gradient.take(at[start[i] : start[i] + count[i]], axis=0).sum(axis=0)
+    for k in range(1, long):
+        upto = int(np.searchsorted(-count, -k))
+        if upto <= many:
+            break
+        summed[many:upto] += gradient.take(at[start[many:upto] + k], axis=0)
+    return rows[start], count, summed
 
 
 def _learned(source: Iterator[pa.RecordBatch], vocabulary, fresh) -> Iterator[pa.RecordBatch]:
@@ -245,14 +266,10 @@ def _learned(source: Iterator[pa.RecordBatch], vocabulary, fresh) -> Iterator[pa
     v, learner = vocabulary.value, Learner(fresh())
     held: list[tuple] = []
     for whole in source:
-        for lo in range(0, whole.num_rows, 512):
-            batch = whole.slice(lo, 512)
+        for lo in range(0, whole.num_rows, 128):
+            batch = whole.slice(lo, 128)
             texts = Texts(batch.column(1).to_pylist(), v)
-            # Each text begins at a place of its own, by its id.
-            shift = np.repeat([id_fold_py(d, POSITION_STRIDE) for d in batch.column(0).to_pylist()], np.diff([*texts.first, texts.n]))
-            local = np.arange(texts.n) - np.repeat(texts.first, np.diff([*texts.first, texts.n]))
-            chosen = np.flatnonzero((local + shift) % POSITION_STRIDE == 0)
-            held.append((texts.target[chosen], texts.in_class[chosen], texts.features[:, chosen]))
+            held.append((texts.target, texts.in_class, texts.features))
             if sum(len(h[0]) for h in held) >= BATCH:
                 _train(learner, held)
                 held = []
@@ -266,8 +283,7 @@ def _learned(source: Iterator[pa.RecordBatch], vocabulary, fresh) -> Iterator[pa
 
 
 def _train(learner: Learner, held: list[tuple]) -> None:
-    target, at = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-    features = np.concatenate([h[2] for h in held], axis=1)
+    target, at, features = held[0] if len(held) == 1 else (np.concatenate([h[i] for h in held], axis=-1) for i in range(3))
     # Texts are mixed, so that a batch is not all of one.
     order = np.random.default_rng(len(target)).permutation(len(target))
     for lo in range(0, len(order), BATCH):

@@ -1,0 +1,30 @@
+"""What the first round's advice found missing."""
+
+import types
+
+import numpy as np
+import pyarrow as pa
+
+from refsift.llm import lm_score
+
+
+def test_every_training_position_learns():
+    texts = [b"a b c", b"", b"b b a d e f g h i"] * 40
+    tokens = sum(len(t.split()) + 1 for t in texts)
+    words = sorted({w for t in texts for w in t.split()})
+    own = lm_score.Vocabulary([(w, 64 + lm_score.tail_class(w), 9) for w in words], len(texts))
+    source = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    fresh = lambda: lm_score.MaxEnt(np.ones(lm_score.N_CLASSES), np.full(len(words), 9.0))
+    out = [r for b in lm_score._learned(iter([source]), types.SimpleNamespace(value=own), fresh) for r in b.to_pylist()]
+    assert sum(np.frombuffer(r["seen"]).sum() for r in out if r["part"] == 0) == 4 * tokens
+
+
+def test_summed_gradients():
+    rng = np.random.default_rng(3)
+    rows, gradient = np.minimum(rng.zipf(1.3, (4, 700)), 400), rng.normal(size=(700, 5)).astype(np.float32)
+    want = np.zeros((401, 5))
+    for each in rows:
+        np.add.at(want, each, gradient)
+    held, count, summed = lm_score._summed(rows, gradient)
+    assert sorted(held) == sorted(set(rows.ravel())) and (count == np.bincount(rows.ravel())[held]).all()
+    assert np.allclose(summed, want[held], atol=1e-3)
