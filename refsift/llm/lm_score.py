@@ -4,9 +4,10 @@ A token's probability is that of its class, given the words before it, times its
 Classes are runs of CLASS_WORDS words of like frequency for the HEAD_CLASSES * CLASS_WORDS most
 frequent words, one class for the end of a text, and TAIL_CLASSES classes of all other words, by a
 hash of their last bytes. Both softmaxes add weights of hashed features of the context: the previous
-word, the two before (a bigram), the one before that (a skip), and the endings of both. Within a tail
-class a word's probability is its smoothed share of the class's training tokens; one unseen type per
-class takes the rest, so the whole sums to one.
+word, the two before (a bigram), the one before that (a skip), and the endings of both. A tail class is
+dealt into CLASS_WORDS cells by a hash of the word, which its softmax tells apart as that of a head class
+does words; within a cell a word's probability is its smoothed share of the cell's training tokens. One
+unseen type per cell takes the rest, so the whole sums to one.
 
 The weights are trained by distributed gradient updates: each of up to LEARNERS partitions runs
 AdaGrad over its training texts, at every position of every one of them, and rows of the weight
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refsift.llm.common import id_fold, lean, stored, table, text_rows
@@ -42,6 +43,7 @@ CLASS_BUCKETS, WORD_BUCKETS, BLOCK, RATE, BATCH = 8192, 512, 64, 0.3, 1024
 END = b"\n"  # no word can hold it
 N_CLASSES = HEAD_CLASSES + TAIL_CLASSES + 1
 END_CLASS = N_CLASSES - 1
+WORD_CLASSES = HEAD_CLASSES + TAIL_CLASSES  # all but the end's
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -53,6 +55,16 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-SUFFIX:]) % TAIL_CLASSES
 
 
+def tail_cell(word: bytes) -> int:
+    """Of all cells of all tail classes; as _cell has it for a column."""
+    return tail_class(word) * CLASS_WORDS + (zlib.crc32(word) >> 8) % CLASS_WORDS
+
+
+def _cell() -> Column:
+    """tail_cell of the columns word and tail."""
+    return ((F.col("tail") - HEAD_CLASSES) * CLASS_WORDS + F.shiftright(F.crc32("word"), 8) % CLASS_WORDS).cast("int")
+
+
 # Counting
 
 
@@ -143,8 +155,11 @@ class Texts:
         classes = np.concatenate([v.classes, np.array([HEAD_CLASSES + tail_class(w) for w in self.new] + [END_CLASS], np.int64)])
         self.number = np.array(numbers, np.int64)
         self.target = classes[self.number]
-        self.in_class = np.where((self.number >= 0) & (self.number < v.head), self.number % CLASS_WORDS, -1)
         h, s = hashes[self.number], endings[self.number]
+        inside = np.where(self.number >= v.head, (h >> np.uint64(8)).astype(np.int64) % CLASS_WORDS, self.number % CLASS_WORDS)
+        self.in_class = np.where(self.number >= 0, inside, -1)
+        self.tail = self.number >= v.head
+        self.cell = np.where(self.tail, (self.target - HEAD_CLASSES) * CLASS_WORDS + inside, -1)
         start = np.zeros(self.n, bool)
         start[self.first] = True
         # Before a text stands an end, and before that another.
@@ -156,23 +171,25 @@ class Texts:
 
 
 class MaxEnt:
-    def __init__(self, class_counts: np.ndarray, word_counts: np.ndarray):
-        """Biases are the logarithms of smoothed shares; all other weights start at zero."""
+    def __init__(self, class_counts: np.ndarray, word_counts: np.ndarray, tail_mass: np.ndarray | None = None):
+        """Biases are the logarithms of smoothed shares; all other weights start at zero. tail_mass: of each
+        tail class's cells, one after the other; without it they are alike."""
         share = class_counts + ALPHA
         self.class_bias = np.log(share / share.sum()).astype(np.float32)
         padded = np.full(HEAD_CLASSES * CLASS_WORDS, -np.inf)
         padded[: len(word_counts)] = np.log(word_counts + ALPHA)
-        by = padded.reshape(HEAD_CLASSES, CLASS_WORDS)
+        tail = np.zeros(TAIL_CLASSES * CLASS_WORDS) if tail_mass is None else np.log(tail_mass)
+        by = np.concatenate([padded, tail]).reshape(WORD_CLASSES, CLASS_WORDS)
         top = by.max(axis=1, keepdims=True)
         self.word_bias = np.where(np.isfinite(by), by - np.where(np.isfinite(top), top, 0), -1e9).astype(np.float32)
         self.by_class = np.zeros((CLASS_BUCKETS, N_CLASSES), np.float32)
-        self.by_word = np.zeros((WORD_BUCKETS, HEAD_CLASSES, CLASS_WORDS), np.float32)
+        self.by_word = np.zeros((WORD_BUCKETS, WORD_CLASSES, CLASS_WORDS), np.float32)
 
     def class_features(self, features: np.ndarray) -> np.ndarray:
         return (features % np.uint64(CLASS_BUCKETS)).astype(np.int64)
 
     def word_features(self, features: np.ndarray) -> np.ndarray:
-        return ((features[[0, 3]] >> np.uint64(20)) % np.uint64(WORD_BUCKETS)).astype(np.int64)
+        return ((features >> np.uint64(20)) % np.uint64(WORD_BUCKETS)).astype(np.int64)
 
     def class_logs(self, f: np.ndarray) -> np.ndarray:
         z = self.by_class[f[0]]
@@ -187,16 +204,16 @@ class MaxEnt:
         return _log_softmax(z + self.word_bias[classes])
 
     def log10(self, texts: Texts, batch: int = 8192) -> np.ndarray:
-        """Each token's log10 probability but for a tail word's share of its class."""
+        """Each token's log10 probability but for a tail word's share of its cell."""
         out = np.empty(texts.n)
         for lo in range(0, texts.n, batch):
             part = slice(lo, min(texts.n, lo + batch))
             target, at = texts.target[part], texts.in_class[part]
             features = texts.features[:, part]
             logs = self.class_logs(self.class_features(features))[np.arange(len(target)), target].astype(float)
-            head = np.flatnonzero(at >= 0)
-            if len(head):
-                logs[head] += self.word_logs(self.word_features(features[:, head]), target[head])[np.arange(len(head)), at[head]]
+            words = np.flatnonzero(at >= 0)
+            if len(words):
+                logs[words] += self.word_logs(self.word_features(features[:, words]), target[words])[np.arange(len(words)), at[words]]
             out[part] = logs
         return out / math.log(10)
 
@@ -211,7 +228,7 @@ class Learner:
 
     def __init__(self, model: MaxEnt):
         self.model = model
-        self.words = model.by_word.reshape(WORD_BUCKETS * HEAD_CLASSES, CLASS_WORDS)
+        self.words = model.by_word.reshape(WORD_BUCKETS * WORD_CLASSES, CLASS_WORDS)
         self.seen = [np.zeros(CLASS_BUCKETS), np.zeros(len(self.words))]
         self.energy = [np.full(CLASS_BUCKETS, 1e-3), np.full(len(self.words), 1e-3)]
 
@@ -229,13 +246,13 @@ class Learner:
         p = np.exp(m.class_logs(f))
         p[np.arange(len(target)), target] -= 1
         self._step(0, m.by_class, f, p)
-        head = np.flatnonzero(at >= 0)
-        if len(head):
-            g = m.word_features(features[:, head])
-            classes = target[head]
+        words = np.flatnonzero(at >= 0)
+        if len(words):
+            g = m.word_features(features[:, words])
+            classes = target[words]
             p = np.exp(m.word_logs(g, classes))
-            p[np.arange(len(head)), at[head]] -= 1
-            self._step(1, self.words, g * HEAD_CLASSES + classes, p)
+            p[np.arange(len(words)), at[words]] -= 1
+            self._step(1, self.words, g * WORD_CLASSES + classes, p)
 
 
 def _summed(rows: np.ndarray, gradient: np.ndarray, long: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,9 +344,8 @@ def _scored(source: Iterator[pa.RecordBatch], vocabulary, model, log_mass: np.nd
             texts = Texts(batch.column(1).to_pylist(), v)
             log_count = np.concatenate([v.log_count, np.zeros(len(texts.new)), [v.log_end]])
             base = log_count[texts.number]
-            tail = (texts.in_class < 0) & (texts.number >= 0)
             logs = m.log10(texts)
-            logs[tail] += base[tail] - log_mass[texts.target[tail]]
+            logs[texts.tail] += base[texts.tail] - log_mass[texts.cell[texts.tail]]
             known = texts.number < v.size
             edges = [*texts.first, texts.n]
             words = list(texts.new)
@@ -352,22 +368,23 @@ def score(docs: DataFrame) -> DataFrame:
     known = [(r["word"], r["tail"], r["n"]) for r in frequent(counts, LOOKUP_WORDS)]
     own = Vocabulary(known, totals["ends"])
     head = np.array([n for *_, n in known[: own.head]], float)
-    # Tokens of each class, and smoothed mass of the tail classes with one unseen type each.
-    tails = {r["tail"]: (r["n"], r["types"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
-    class_counts, mass = np.zeros(N_CLASSES), np.zeros(N_CLASSES)
+    # Tokens of each class, and smoothed mass of the tail classes' cells with one unseen type each.
+    cells, types = np.zeros(TAIL_CLASSES * CLASS_WORDS), np.zeros(TAIL_CLASSES * CLASS_WORDS)
+    for r in counts.filter(F.col("tail") != END_CLASS).groupBy(_cell().alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        cells[r["cell"]], types[r["cell"]] = r["n"], r["types"]
+    for word, _, n in known[: own.head]:
+        cells[tail_cell(word)] -= n
+        types[tail_cell(word)] -= 1
+    mass = cells + ALPHA * (types + 1)
+    log_mass = np.log10(mass)
+    class_counts = np.zeros(N_CLASSES)
     class_counts[END_CLASS] = totals["ends"]
     class_counts[: -(-own.head // CLASS_WORDS)] = [head[i : i + CLASS_WORDS].sum() for i in range(0, own.head, CLASS_WORDS)]
-    for c in range(HEAD_CLASSES, END_CLASS):
-        in_head = [n for _, t, n in known[: own.head] if t == c]
-        n, types = tails.get(c, (0, 0))
-        class_counts[c] = n - sum(in_head)
-        mass[c] = n - sum(in_head) + ALPHA * (types - len(in_head) + 1)
-    with np.errstate(divide="ignore"):
-        log_mass = np.log10(mass)
+    class_counts[HEAD_CLASSES:END_CLASS] = cells.reshape(TAIL_CLASSES, CLASS_WORDS).sum(axis=1)
     known_classes = -(-own.head // CLASS_WORDS)
 
     def fresh() -> MaxEnt:
-        return MaxEnt(class_counts, head)
+        return MaxEnt(class_counts, head, mass)
 
     vocabulary = spark.sparkContext.broadcast(own)
     trained = train(training.select("doc_id", F.col("text").cast("binary")), vocabulary, fresh)

@@ -28,3 +28,33 @@ def test_summed_gradients():
     held, count, summed = lm_score._summed(rows, gradient)
     assert sorted(held) == sorted(set(rows.ravel())) and (count == np.bincount(rows.ravel())[held]).all()
     assert np.allclose(summed, want[held], atol=1e-3)
+
+
+def test_tail_words_follow_their_context():
+    own = lm_score.Vocabulary([], 1)
+    model = lm_score.MaxEnt(np.ones(lm_score.N_CLASSES), np.zeros(0))
+    learner = lm_score.Learner(model)
+    seen = lm_score.Texts([b"a 1xyz", b"b 2xyz"] * 20, own)
+    for _ in range(10):
+        learner.learn(seen.target, seen.in_class, seen.features)
+    assert lm_score.tail_class(b"1xyz") == lm_score.tail_class(b"2xyz")
+    logs = [model.log10(lm_score.Texts([t], own))[1] for t in (b"a 1xyz", b"a 2xyz", b"b 2xyz", b"b 1xyz")]
+    assert logs[0] > logs[1] + 0.5 and logs[2] > logs[3] + 0.5
+
+
+def test_all_features_reach_the_words_and_cells_sum_to_one():
+    rng = np.random.default_rng(5)
+    model = lm_score.MaxEnt(np.ones(lm_score.N_CLASSES), np.full(70, 3.0))
+    model.by_word += rng.normal(size=model.by_word.shape).astype(np.float32)
+    texts = lm_score.Texts([b"u v w x"], lm_score.Vocabulary([], 1))
+    g = model.word_features(texts.features)
+    assert len(g) == len(texts.features) == 4
+    for c in (0, 1, lm_score.HEAD_CLASSES, lm_score.END_CLASS - 1):
+        assert abs(np.exp(model.word_logs(g[:, [2]], np.array([c]))).sum() - 1) < 1e-5
+
+
+def test_cells_of_columns(spark):
+    words = [b"a", b"", b"xyz", b"longer", "été".encode(), b"\xff\x00q"]
+    rows = spark.createDataFrame([(bytearray(w), 64 + lm_score.tail_class(w)) for w in words], "word binary, tail int")
+    got = {bytes(r["word"]): r["cell"] for r in rows.select("word", lm_score._cell().alias("cell")).collect()}
+    assert got == {w: lm_score.tail_cell(w) for w in words}
