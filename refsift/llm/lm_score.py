@@ -12,7 +12,8 @@ unseen type per cell takes the rest, so the whole sums to one.
 The weights are trained by distributed gradient updates: each of up to LEARNERS partitions runs
 AdaGrad over its training texts, at every position of every one of them, and rows of the weight
 tables are averaged by how often they were updated, in groups of one row block. Scores come from
-numpy batches of sparse features.
+numpy batches of sparse features. The rows of the class softmax follow the number of distinct words, one
+for WORDS_A_ROW of them, from CLASS_BUCKETS to MOST_BUCKETS: every task holds the tables, so they can't grow on.
 
 Counts cover all training tokens: words are counted inside each partition before one shuffle. Only
 the LOOKUP_WORDS most frequent words, at most, go along with the tasks; all others meet their
@@ -40,6 +41,7 @@ FOLDS, HELD_FOLD, ALPHA = 10, 0, 0.1
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES, SUFFIX = 64, 64, 32, 3
 LOOKUP_WORDS, LEARNERS = 200_000, 256
 CLASS_BUCKETS, WORD_BUCKETS, BLOCK, RATE, BATCH = 8192, 512, 64, 0.3, 1024
+MOST_BUCKETS, WORDS_A_ROW = 65536, 8
 END = b"\n"  # no word can hold it
 N_CLASSES = HEAD_CLASSES + TAIL_CLASSES + 1
 END_CLASS = N_CLASSES - 1
@@ -170,8 +172,13 @@ class Texts:
         self.features = np.stack([_mix(h1, 1), _mix(h1 * np.uint64(0x85EBCA6B) + h2, 2), _mix(h2, 3), pair]).astype(np.uint64)
 
 
+def class_rows(types: int) -> int:
+    """Rows of the class softmax for so many distinct words, in whole blocks."""
+    return min(MOST_BUCKETS, max(CLASS_BUCKETS, -(-types // (WORDS_A_ROW * BLOCK)) * BLOCK))
+
+
 class MaxEnt:
-    def __init__(self, class_counts: np.ndarray, word_counts: np.ndarray, tail_mass: np.ndarray | None = None):
+    def __init__(self, class_counts: np.ndarray, word_counts: np.ndarray, tail_mass: np.ndarray | None = None, rows: int = CLASS_BUCKETS):
         """Biases are the logarithms of smoothed shares; all other weights start at zero. tail_mass: of each
         tail class's cells, one after the other; without it they are alike."""
         share = class_counts + ALPHA
@@ -182,11 +189,11 @@ class MaxEnt:
         by = np.concatenate([padded, tail]).reshape(WORD_CLASSES, CLASS_WORDS)
         top = by.max(axis=1, keepdims=True)
         self.word_bias = np.where(np.isfinite(by), by - np.where(np.isfinite(top), top, 0), -1e9).astype(np.float32)
-        self.by_class = np.zeros((CLASS_BUCKETS, N_CLASSES), np.float32)
+        self.by_class = np.zeros((rows, N_CLASSES), np.float32)
         self.by_word = np.zeros((WORD_BUCKETS, WORD_CLASSES, CLASS_WORDS), np.float32)
 
     def class_features(self, features: np.ndarray) -> np.ndarray:
-        return (features % np.uint64(CLASS_BUCKETS)).astype(np.int64)
+        return (features % np.uint64(len(self.by_class))).astype(np.int64)
 
     def word_features(self, features: np.ndarray) -> np.ndarray:
         return ((features >> np.uint64(20)) % np.uint64(WORD_BUCKETS)).astype(np.int64)
@@ -229,8 +236,8 @@ class Learner:
     def __init__(self, model: MaxEnt):
         self.model = model
         self.words = model.by_word.reshape(WORD_BUCKETS * WORD_CLASSES, CLASS_WORDS)
-        self.seen = [np.zeros(CLASS_BUCKETS), np.zeros(len(self.words))]
-        self.energy = [np.full(CLASS_BUCKETS, 1e-3), np.full(len(self.words), 1e-3)]
+        self.seen = [np.zeros(len(t)) for t in (model.by_class, self.words)]
+        self.energy = [np.full(len(t), 1e-3) for t in (model.by_class, self.words)]
 
     def _step(self, which: int, table_: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         """rows: for each feature the rows of the positions, which gradient has one by one."""
@@ -384,7 +391,7 @@ def score(docs: DataFrame) -> DataFrame:
     known_classes = -(-own.head // CLASS_WORDS)
 
     def fresh() -> MaxEnt:
-        return MaxEnt(class_counts, head, mass)
+        return MaxEnt(class_counts, head, mass, class_rows(totals["V"]))
 
     vocabulary = spark.sparkContext.broadcast(own)
     trained = train(training.select("doc_id", F.col("text").cast("binary")), vocabulary, fresh)

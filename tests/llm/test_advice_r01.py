@@ -58,3 +58,11 @@ def test_cells_of_columns(spark):
     rows = spark.createDataFrame([(bytearray(w), 64 + lm_score.tail_class(w)) for w in words], "word binary, tail int")
     got = {bytes(r["word"]): r["cell"] for r in rows.select("word", lm_score._cell().alias("cell")).collect()}
     assert got == {w: lm_score.tail_cell(w) for w in words}
+
+
+def test_class_rows_follow_the_words():
+    sizes = [lm_score.class_rows(v) for v in (0, 404_216, 10**9)]
+    assert sizes[0] == lm_score.CLASS_BUCKETS < sizes[1] < sizes[2] == lm_score.MOST_BUCKETS
+    model = lm_score.MaxEnt(np.ones(lm_score.N_CLASSES), np.zeros(0), None, sizes[1])
+    features = np.random.default_rng(1).integers(0, 2**63, (4, 20_000)).astype(np.uint64)
+    assert lm_score.CLASS_BUCKETS < model.class_features(features).max() < sizes[1] == len(model.by_class) == len(lm_score.Learner(model).seen[0])
