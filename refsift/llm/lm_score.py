@@ -9,8 +9,8 @@ dealt into CLASS_WORDS cells by a hash of the word, which its softmax tells apar
 does words; within a cell a word's probability is its smoothed share of the cell's training tokens. One
 unseen type per cell takes the rest, so the whole sums to one.
 
-The weights are trained by distributed gradient updates: each of up to LEARNERS partitions runs
-AdaGrad over its training texts, at every position of every one of them, and rows of the weight
+The weights are trained by distributed gradient updates: each of up to LEARNERS partitions, one
+for LEARNER_TOKENS tokens so that the tables that they send stay in proportion to the input, runs AdaGrad over its training texts, at every position of every one of them, and rows of the weight
 tables are averaged by how often they were updated, in groups of one row block. Scores come from
 numpy batches of sparse features. The rows of the class softmax follow the number of distinct words, one
 for WORDS_A_ROW of them, from CLASS_BUCKETS to MOST_BUCKETS: every task holds the tables, so they can't grow on.
@@ -39,7 +39,7 @@ from refsift.llm.common import id_fold, lean, stored, table, text_rows
 
 FOLDS, HELD_FOLD, ALPHA = 10, 0, 0.1
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES, SUFFIX = 64, 64, 32, 3
-LOOKUP_WORDS, LEARNERS = 200_000, 256
+LOOKUP_WORDS, LEARNERS, LEARNER_TOKENS = 200_000, 256, 2_000_000
 CLASS_BUCKETS, WORD_BUCKETS, BLOCK, RATE, BATCH = 8192, 512, 64, 0.3, 1024
 MOST_BUCKETS, WORDS_A_ROW = 65536, 8
 END = b"\n"  # no word can hold it
@@ -323,9 +323,13 @@ def _averaged(rows: pa.Table) -> pa.Table:
     return pa.table({"part": rows["part"][:1], "block": rows["block"][:1], "weights": pa.array([mean.tobytes()], pa.binary())})
 
 
-def train(texts: DataFrame, vocabulary, fresh) -> MaxEnt:
-    """texts: doc_id and text (binary) of the training rows; vocabulary: a broadcast; fresh: gives an untrained model."""
-    parts = texts.coalesce(LEARNERS).mapInArrow(lean(lambda it: _learned(it, vocabulary, fresh)), "part int, block int, weights binary, seen binary")
+def learners(n_tokens: int) -> int:
+    return max(1, min(LEARNERS, -(-n_tokens // LEARNER_TOKENS)))
+
+
+def train(texts: DataFrame, vocabulary, fresh, n_tokens: int) -> MaxEnt:
+    """texts: doc_id and text (binary) of the training rows, with n_tokens in all; vocabulary: a broadcast; fresh: gives an untrained model."""
+    parts = texts.coalesce(learners(n_tokens)).mapInArrow(lean(lambda it: _learned(it, vocabulary, fresh)), "part int, block int, weights binary, seen binary")
     model = fresh()
     tables = model.by_class, model.by_word.reshape(-1, CLASS_WORDS)
     for row in parts.groupBy("part", "block").applyInArrow(_averaged, "part int, block int, weights binary").toLocalIterator():
@@ -394,7 +398,7 @@ def score(docs: DataFrame) -> DataFrame:
         return MaxEnt(class_counts, head, mass, class_rows(totals["V"]))
 
     vocabulary = spark.sparkContext.broadcast(own)
-    trained = train(training.select("doc_id", F.col("text").cast("binary")), vocabulary, fresh)
+    trained = train(training.select("doc_id", F.col("text").cast("binary")), vocabulary, fresh, totals["N"])
     trained.class_bias[known_classes:HEAD_CLASSES] = -1e9  # classes without words
     model = spark.sparkContext.broadcast(trained)
     partial = text_rows(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(lean(lambda it: _scored(it, vocabulary, model, log_mass)), _SCORED_DDL)

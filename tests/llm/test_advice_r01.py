@@ -66,3 +66,7 @@ def test_class_rows_follow_the_words():
     model = lm_score.MaxEnt(np.ones(lm_score.N_CLASSES), np.zeros(0), None, sizes[1])
     features = np.random.default_rng(1).integers(0, 2**63, (4, 20_000)).astype(np.uint64)
     assert lm_score.CLASS_BUCKETS < model.class_features(features).max() < sizes[1] == len(model.by_class) == len(lm_score.Learner(model).seen[0])
+
+
+def test_learners_follow_the_tokens():
+    assert [lm_score.learners(n) for n in (0, 1, 2_000_001, 10**12)] == [1, 1, 2, lm_score.LEARNERS]
