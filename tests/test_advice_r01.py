@@ -1,0 +1,18 @@
+"""What the first round's advice found missing."""
+
+from pyspark.sql import functions as F
+
+from refsift.functions.similarity import title_similarity
+from refsift.plans.engine import observe
+from refsift.queries import derived_entries
+
+
+def test_short_titles_inside_longer_ones_are_candidates(spark):
+    short, long = "alpha beta gamma", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    entries, records = derived_entries(spark, "/root/testdata/sf0.001")
+    entry = entries.limit(1).select(F.lit("e").alias("key"), F.lit("article").alias("entry_type"), F.create_map(F.lit("title"), F.lit(short), F.lit("author"), F.lit("A B")).alias("fields"))
+    record = spark.createDataFrame(records.limit(1).collect(), records.schema).withColumns({"source": F.lit("openalex"), "title": F.lit(long)})
+    said = observe(entry, record).filter("source = 'openalex' AND mode = 'title'").first()
+    assert [c["title"] for c in said["candidates"]] == [long]
+    pair = spark.range(1).select(title_similarity(F.lit(short), F.lit(long), with_ratio=False).alias("s")).first()
+    assert pair["s"] >= 0.60
