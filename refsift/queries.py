@@ -301,7 +301,7 @@ def _first_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query(f"WITH {_TITLES_SQL} SELECT item_id::VARCHAR AS key, doc_id AS record_id, row_number() OVER (PARTITION BY item_id ORDER BY same_key DESC, overlap DESC, doc_id)::INT AS pos, round(overlap, 9)::DOUBLE AS overlap FROM pairs WHERE overlap >= 0.4 QUALIFY pos <= 5")
 def similar_titles_top5(spark, sf_dir):
-    return lookup.similar_titles(*_first_lines(spark, sf_dir), k=5, least=0.4).select("key", "record_id", "pos", F.round("overlap", 9).alias("overlap"))
+    return lookup.similar_titles(*_first_lines(spark, sf_dir), k=5, like=lookup.Likeness(0.4)).select("key", "record_id", "pos", F.round("overlap", 9).alias("overlap"))
 
 
 # Sets
