@@ -43,11 +43,40 @@ def status_counts(results: DataFrame) -> DataFrame:
     return order.join(results.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("position", "status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def ranges(rows: DataFrame, by: str, per_range: int = 100_000, most: int = 1024) -> Column:
+    """Number of the range of `by` that a row is in; ranges follow each other. Their bounds come from a sample, which
+    changes how even they are, not what anything counted in them gives."""
+    wanted = min(most, -(-rows.count() // per_range))
+    if wanted <= 1:
+        return F.lit(0)
+    found = rows.filter(F.col(by).isNotNull()).sample(min(1.0, 20 / per_range), 1).select(by).distinct().orderBy(by).limit(most * 40).toPandas()[by].tolist()
+    bounds = found[:: max(1, len(found) // wanted)]
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(by))) if bounds else F.lit(0)
+
+
+def running(rows: DataFrame, by: str, sums: dict[str, Column], group: str | None = None, including: bool = True) -> DataFrame:
+    """rows with running sums in the order of `by` (in each group, where one is named), the row's own included or not.
+
+    Each range is summed by a task of its own and starts from the sum of those before it: one row for each range and
+    group meets in one window, never the table.
+    """
+    placed = rows.withColumn("_range", ranges(rows, by))
+    groups = [group] if group else []
+    totals = placed.groupBy(*groups, "_range").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(g).alias("_group") for g in groups], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_s_{name}") for name in sums])
+    inside = Window.partitionBy(*groups, "_range").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow if including else -1)
+    own = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_o_{name}") for name, c in sums.items()])
+    same = F.col("_range") == F.col("_at")
+    joined = own.join(F.broadcast(starts), same & F.col(group).eqNullSafe(F.col("_group")) if group else same)
+    return joined.select(*rows.columns, *[(F.col(f"_o_{name}") + F.col(f"_s_{name}")).alias(name) for name in sums])
+
+
 def running_counts(results: DataFrame, by: str = "key") -> DataFrame:
     """key, status, index of each result in order, and how many of its status there are so far."""
-    order = Window.orderBy(by)
-    so_far = Window.partitionBy("status").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return results.select(by, "status", F.row_number().over(order).alias("index"), F.count("*").over(so_far).alias("of_status"))
+    numbered = running(results.select(by, "status"), by, {"index": F.lit(1)})
+    counted = running(numbered, by, {"of_status": F.lit(1)}, "status")
+    return counted.select(by, "status", F.col("index").cast("int").alias("index"), "of_status")
 
 
 def shows_source(status: Column, top: Column) -> Column:
@@ -71,8 +100,7 @@ def report_lines(results: DataFrame) -> DataFrame:
 def batch_times(batches: DataFrame) -> DataFrame:
     """batches: batch_no, size and seconds. A row for each item: its number in all, elapsed seconds as if a batch's
     time were spread evenly over its items, and the average so far."""
-    before = Window.orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1)
-    spent = batches.select("*", F.coalesce(F.sum("seconds").over(before), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_n"))
+    spent = running(batches, "batch_no", {"_s": F.col("seconds"), "_n": F.col("size")}, including=False)
     each = spent.select("*", F.explode(F.sequence(F.lit(1), "size")).alias("_i"))
     elapsed = F.col("_s") + F.col("seconds") * F.col("_i") / F.col("size")
     done = F.col("_n") + F.col("_i")

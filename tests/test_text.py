@@ -126,7 +126,17 @@ def test_similar_titles_loses_no_pair(spark):
     titles = [" ".join(random.choices(words, k=random.randint(1, 7))) for _ in range(60)]
     rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(titles)], "key string, title string")
     records = rows.select(F.col("key").cast("int").alias("record_id"), "title")
-    got = {(r["key"], r["record_id"]) for r in lookup.similar_titles(rows, records, k=1000, least=0.5).collect()}
-    sets = [set(t.split()) for t in titles]
-    want = {(str(i), j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 2 * len(a & b) / (len(a) + len(b)) >= 0.5 - 1e-12}
-    assert got == want
+    from pyspark.sql import Window
+
+    from refsift.functions import text as X
+    from refsift.functions.similarity import dice, token_score
+
+    keys = rows.crossJoin(records.select("record_id", X.title_key(F.col("title")).alias("rk"))).withColumn("lk", X.title_key(F.col("title")))
+    a, b = X.token_set(F.col("lk")), X.token_set(F.col("rk"))
+    every = keys.select("key", "record_id", (F.col("lk") == F.col("rk")).alias("same_key"), dice(a, b).alias("overlap"), token_score(a, b).alias("score"))
+    order = Window.partitionBy("key").orderBy(F.desc("same_key"), F.desc("overlap"), "record_id")
+    for k, common, like in ((1000, 0, lookup.Likeness(0.5)), (3, 5, lookup.Likeness(0.5)), (2, 20, lookup.Likeness(0.42, 0.5995)), (3, 1000, lookup.Likeness(0.42, 0.5995))):
+        want = every.filter((F.col("overlap") >= like.dice - 1e-12) & (F.col("score") >= like.score - 1e-12)).withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
+        got = lookup.similar_titles(rows, records, k=k, like=like, common=common)
+        said = lambda df: sorted((r["key"], r["pos"], r["record_id"], r["same_key"]) for r in df.collect())
+        assert said(got) == said(want)
