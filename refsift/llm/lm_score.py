@@ -3,17 +3,19 @@
 A token's probability is that of its class, given the words before it, times its own within the class.
 Classes are runs of CLASS_WORDS words of like frequency for the HEAD_CLASSES * CLASS_WORDS most
 frequent words, one class for the end of a text, and TAIL_CLASSES classes of all other words, by a
-hash of their last bytes. Both softmaxes add weights of hashed features of the context: the previous
-word, the two before (a bigram), the one before that (a skip), and the endings of both. A tail class is
-dealt into CLASS_WORDS cells by a hash of the word, which its softmax tells apart as that of a head class
-does words; within a cell a word's probability is its smoothed share of the cell's training tokens. One
-unseen type per cell takes the rest, so the whole sums to one.
+hash of their last bytes. A tail class is dealt into CLASS_WORDS cells by a hash of the word, which are told apart as
+the words of a head class are; within a cell a word's probability is its smoothed share of the cell's training tokens. One
+unseen type per cell takes the rest, so the whole sums to one. Both the choice of a class and that of a word are taken in
+two steps, of a run and of one in it, so that a token costs four softmaxes of at most ten outcomes. Each adds
+weights of hashed features of the context: the previous word, the two before (a bigram), the one before that (a
+skip), and the endings of both.
 
 The weights are trained by distributed gradient updates: each of up to LEARNERS partitions, one
-for LEARNER_TOKENS tokens so that the tables that they send stay in proportion to the input, runs AdaGrad over its training texts, at every position of every one of them, and rows of the weight
-tables are averaged by how often they were updated, in groups of one row block. Scores come from
-numpy batches of sparse features. The rows of the class softmax follow the number of distinct words, one
-for WORDS_A_ROW of them, from CLASS_BUCKETS to MOST_BUCKETS: every task holds the tables, so they can't grow on.
+for LEARNER_TOKENS tokens so that the tables that they send stay in proportion to the input, runs AdaGrad over its
+training texts, at every position of every one of them, and rows of the weight tables are averaged by the energy of their
+gradients, in groups of one row block. Scores come from numpy batches of sparse features. The hash rows follow the
+number of distinct words, one for WORDS_A_ROW of them, from CLASS_BUCKETS to MOST_BUCKETS (within classes from WORD_BUCKETS to
+MOST_WORD_BUCKETS): every task holds the tables, so they can't grow on.
 
 Counts cover all training tokens: words are counted inside each partition before one shuffle. Only
 the LOOKUP_WORDS most frequent words, at most, go along with the tasks; all others meet their
@@ -39,13 +41,13 @@ from refsift.llm.common import id_fold, lean, stored, table, text_rows
 
 FOLDS, HELD_FOLD, ALPHA = 10, 0, 0.1
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES, SUFFIX = 64, 64, 32, 3
-LOOKUP_WORDS, LEARNERS, LEARNER_TOKENS = 200_000, 256, 2_000_000
-CLASS_BUCKETS, WORD_BUCKETS, BLOCK, RATE, BATCH = 8192, 512, 64, 0.3, 1024
-MOST_BUCKETS, WORDS_A_ROW = 65536, 8
+LOOKUP_WORDS, LEARNERS, LEARNER_TOKENS = 200_000, 256, 6_000_000
+CLASS_BUCKETS, WORD_BUCKETS, BLOCK, RATE, BATCH, LEAST_ENERGY = 8192, 512, 4096, 0.3, 2048, 1e-3
+MOST_BUCKETS, MOST_WORD_BUCKETS, WORDS_A_ROW = 65536, 1024, 8
 END = b"\n"  # no word can hold it
 N_CLASSES = HEAD_CLASSES + TAIL_CLASSES + 1
 END_CLASS = N_CLASSES - 1
-WORD_CLASSES = HEAD_CLASSES + TAIL_CLASSES  # all but the end's
+WIDTHS = 10, 10, 8, 8  # children of a node: runs of classes, classes of a run, runs of a class's words, words of a run
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -125,7 +127,7 @@ class Vocabulary:
         self.words = {w: i for i, (w, _, _) in enumerate(rows)}
         self.size = len(rows)
         self.log_count = np.log10(np.array([n for *_, n in rows], float) + ALPHA) if rows else np.zeros(0)
-        self.log_end = math.log10(end_count + ALPHA)
+        self.log_end, self.has_ends = math.log10(end_count + ALPHA), end_count > 0
         head = min(len(rows), HEAD_CLASSES * CLASS_WORDS)
         self.head = head
         self.classes = np.array([i // CLASS_WORDS if i < head else t for i, (_, t, _) in enumerate(rows)], np.int64)
@@ -141,14 +143,13 @@ class Texts:
         self.new: dict[bytes, int] = {}
         numbers: list[int] = []
         self.first: list[int] = []
-        get = known.get
         for text in texts:
             self.first.append(len(numbers))
-            for w in tokens(text):
-                i = get(w)
-                if i is None:
-                    i = self.new.setdefault(w, v.size + len(self.new))
-                numbers.append(i)
+            parts = tokens(text)
+            found = list(map(known.get, parts))
+            if None in found:
+                found = [self.new.setdefault(w, v.size + len(self.new)) if i is None else i for w, i in zip(parts, found, strict=True)]
+            numbers += found
             numbers.append(-1)
         self.n = len(numbers)
         # Number -1, the last of each array, is the end.
@@ -173,61 +174,78 @@ class Texts:
 
 
 def class_rows(types: int) -> int:
-    """Rows of the class softmax for so many distinct words, in whole blocks."""
-    return min(MOST_BUCKETS, max(CLASS_BUCKETS, -(-types // (WORDS_A_ROW * BLOCK)) * BLOCK))
+    """Hash rows of the two upper levels for so many distinct words."""
+    return min(MOST_BUCKETS, max(CLASS_BUCKETS, -(-types // WORDS_A_ROW)))
+
+
+def word_rows(types: int) -> int:
+    """Hash rows of the two levels within a class, which have one node for each class and each run of words."""
+    return min(MOST_WORD_BUCKETS, max(WORD_BUCKETS, -(-types // (WORDS_A_ROW * CLASS_WORDS))))
 
 
 class MaxEnt:
-    def __init__(self, class_counts: np.ndarray, word_counts: np.ndarray, tail_mass: np.ndarray | None = None, rows: int = CLASS_BUCKETS):
-        """Biases are the logarithms of smoothed shares; all other weights start at zero. tail_mass: of each
-        tail class's cells, one after the other; without it they are alike."""
-        share = class_counts + ALPHA
-        self.class_bias = np.log(share / share.sum()).astype(np.float32)
-        padded = np.full(HEAD_CLASSES * CLASS_WORDS, -np.inf)
-        padded[: len(word_counts)] = np.log(word_counts + ALPHA)
-        tail = np.zeros(TAIL_CLASSES * CLASS_WORDS) if tail_mass is None else np.log(tail_mass)
-        by = np.concatenate([padded, tail]).reshape(WORD_CLASSES, CLASS_WORDS)
-        top = by.max(axis=1, keepdims=True)
-        self.word_bias = np.where(np.isfinite(by), by - np.where(np.isfinite(top), top, 0), -1e9).astype(np.float32)
-        self.by_class = np.zeros((rows, N_CLASSES), np.float32)
-        self.by_word = np.zeros((WORD_BUCKETS, WORD_CLASSES, CLASS_WORDS), np.float32)
-
-    def class_features(self, features: np.ndarray) -> np.ndarray:
-        return (features % np.uint64(len(self.by_class))).astype(np.int64)
-
-    def word_features(self, features: np.ndarray) -> np.ndarray:
-        return ((features >> np.uint64(20)) % np.uint64(WORD_BUCKETS)).astype(np.int64)
-
-    def class_logs(self, f: np.ndarray) -> np.ndarray:
-        z = self.by_class[f[0]]
-        for row in f[1:]:
-            z += self.by_class[row]
-        return _log_softmax(z + self.class_bias)
-
-    def word_logs(self, g: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        z = self.by_word[g[0], classes]
-        for row in g[1:]:
-            z += self.by_word[row, classes]
-        return _log_softmax(z + self.word_bias[classes])
+    """One softmax for each node of four levels. A token's path: the run of classes, the class, a run of the class's words, the word
+    (or cell); an end stops at its class. weights: for each level the rows (hash row, node) by child."""
+
+    def __init__(self, mass: np.ndarray, rows: tuple[int, int] = (CLASS_BUCKETS, WORD_BUCKETS)):
+        """mass: of each class's words or cells, the end's first; zero where there is none. Biases are the logarithms
+        of shares; all other weights start at zero."""
+        self.rows = (rows[0], rows[0], rows[1], rows[1])
+        leaves = np.zeros((WIDTHS[0] * WIDTHS[1], CLASS_WORDS))
+        leaves[:N_CLASSES] = mass
+        runs = leaves.reshape(-1, WIDTHS[2], WIDTHS[3])
+        by_class = leaves.sum(axis=1).reshape(WIDTHS[0], WIDTHS[1])
+        shares = by_class.sum(axis=1)[None], by_class, runs.sum(axis=2), runs.reshape(-1, WIDTHS[3])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.bias = [np.where(x > 0, np.log(x) - np.log(x.max(axis=1, keepdims=True)), -1e9).astype(np.float32) for x in shares]
+        self.weights = [np.zeros((n * len(b), w), np.float32) for n, b, w in zip(self.rows, self.bias, WIDTHS, strict=True)]
+
+    def hashed(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features' hash rows in the two upper and the two lower levels: their halves, scaled to the rows."""
+        half = np.uint64(32)
+        low, high = features & np.uint64(0xFFFFFFFF), features >> half
+        return ((low * np.uint64(self.rows[0])) >> half).astype(np.int64), ((high * np.uint64(self.rows[2])) >> half).astype(np.int64)
+
+    def at(self, level: int, hashed: tuple[np.ndarray, np.ndarray], node: np.ndarray, where: np.ndarray | None = None) -> np.ndarray:
+        """For each feature the rows of the positions (of those at `where`)."""
+        own = hashed[level // 2]
+        return (own if where is None else own.take(where, axis=1)) * len(self.bias[level]) + node
+
+    def shares(self, level: int, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Probabilities of each child, by child and position."""
+        table_ = self.weights[level]
+        z = self.bias[level].take(node, axis=0)
+        for row in at:
+            z += table_.take(row, axis=0)
+        z = np.ascontiguousarray(z.T)
+        z -= z.max(axis=0)
+        np.exp(z, out=z)
+        z /= z.sum(axis=0)
+        return z
 
     def log10(self, texts: Texts, batch: int = 8192) -> np.ndarray:
         """Each token's log10 probability but for a tail word's share of its cell."""
         out = np.empty(texts.n)
         for lo in range(0, texts.n, batch):
-            part = slice(lo, min(texts.n, lo + batch))
-            target, at = texts.target[part], texts.in_class[part]
-            features = texts.features[:, part]
-            logs = self.class_logs(self.class_features(features))[np.arange(len(target)), target].astype(float)
-            words = np.flatnonzero(at >= 0)
-            if len(words):
-                logs[words] += self.word_logs(self.word_features(features[:, words]), target[words])[np.arange(len(words)), at[words]]
-            out[part] = logs
-        return out / math.log(10)
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            upto = slice(lo, min(texts.n, lo + batch))
+            hashed = self.hashed(texts.features[:, upto])
+            logs = np.zeros(hashed[0].shape[1])
+            for level, (node, child, where) in enumerate(paths(texts.target[upto], texts.in_class[upto])):
+                p = self.shares(level, self.at(level, hashed, node, where), node)[child, np.arange(len(child))]
+                logs[slice(None) if where is None else where] += np.log10(np.maximum(p, 1e-30))
+            out[upto] = logs
+        return out
+
+
+def paths(target: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Of each level the nodes, the children taken, and the positions that get there (all, if None)."""
+    run = target // WIDTHS[1]
+    yield np.zeros_like(run), run, None
+    yield run, target % WIDTHS[1], None
+    words = np.flatnonzero(at >= 0)
+    at, target = at[words], target[words]
+    yield target, at // WIDTHS[3], words
+    yield target * WIDTHS[2] + at // WIDTHS[3], at % WIDTHS[3], words
 
 
 class Learner:
@@ -235,58 +253,32 @@ class Learner:
 
     def __init__(self, model: MaxEnt):
         self.model = model
-        self.words = model.by_word.reshape(WORD_BUCKETS * WORD_CLASSES, CLASS_WORDS)
-        self.seen = [np.zeros(len(t)) for t in (model.by_class, self.words)]
-        self.energy = [np.full(len(t), 1e-3) for t in (model.by_class, self.words)]
-
-    def _step(self, which: int, table_: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """rows: for each feature the rows of the positions, which gradient has one by one."""
-        held, count, summed = _summed(rows, gradient)
-        self.seen[which][held] += count
-        self.energy[which][held] += np.einsum("ij,ij->i", summed, summed)
-        summed *= (RATE / np.sqrt(self.energy[which][held]))[:, None].astype(np.float32)
-        table_[held] -= summed
+        self.energy = [np.full(len(t), LEAST_ENERGY, np.float32) for t in model.weights]
 
     def learn(self, target: np.ndarray, at: np.ndarray, features: np.ndarray) -> None:
-        m = self.model
-        f = m.class_features(features)
-        p = np.exp(m.class_logs(f))
-        p[np.arange(len(target)), target] -= 1
-        self._step(0, m.by_class, f, p)
-        words = np.flatnonzero(at >= 0)
-        if len(words):
-            g = m.word_features(features[:, words])
-            classes = target[words]
-            p = np.exp(m.word_logs(g, classes))
-            p[np.arange(len(words)), at[words]] -= 1
-            self._step(1, self.words, g * WORD_CLASSES + classes, p)
-
-
-def _summed(rows: np.ndarray, gradient: np.ndarray, long: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, how often each occurs and the sum of its gradients. Rows of up to `long` occurrences are
-    summed occurrence by occurrence, all at once; np.add.reduceat takes several times as long."""
-    n = rows.size
-    keys = rows.ravel() * n + np.arange(n)
-    keys.sort()
-    rows, at = keys // n, keys % n % len(gradient)
-    start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    count = np.diff(np.append(start, n))
-    order = np.argsort(-count, kind="stable")
-    start, count = start[order], count[order]
-    summed = gradient.take(at[start], axis=0)
-    many = int(np.searchsorted(-count, -long))
-    for i in range(many):
-        summed[i] = gradient.take(at[start[i] : start[i] + count[i]], axis=0).sum(axis=0)
-    for k in range(1, long):
-        upto = int(np.searchsorted(-count, -k))
-        if upto <= many:
-            break
-        summed[many:upto] += gradient.take(at[start[many:upto] + k], axis=0)
-    return rows[start], count, summed
+        hashed = self.model.hashed(features)
+        for level, (node, child, where) in enumerate(paths(target, at)):
+            if len(node):
+                rows = self.model.at(level, hashed, node, where)
+                p = self.model.shares(level, rows, node)
+                p[child, np.arange(len(child))] -= 1
+                self._step(level, rows, p)
+
+    def _step(self, level: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """gradient: by child and position, the same for all features. A row that occurs several times gets
+        all its gradients, each with the step size after the last of them."""
+        energy, table_ = self.energy[level], self.model.weights[level]
+        flat, width, size = table_.ravel(), table_.shape[1], np.einsum("ij,ij->j", gradient, gradient)
+        for row in rows:
+            np.add.at(energy, row, size)
+        change, steps = np.ascontiguousarray(gradient.T), np.float32(-RATE) / np.sqrt(energy.take(rows))
+        for row, step in zip(rows, steps, strict=True):
+            places = (row * width)[:, None] + np.arange(width)
+            np.add.at(flat, places.ravel(), (change * step[:, None]).ravel())
 
 
 def _learned(source: Iterator[pa.RecordBatch], vocabulary, fresh) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) in; row blocks of both tables, with their update counts, out."""
+    """Rows (doc_id, text) in; row blocks of all levels, with the energy of their gradients, out."""
     v, learner = vocabulary.value, Learner(fresh())
     held: list[tuple] = []
     for whole in source:
@@ -299,11 +291,11 @@ def _learned(source: Iterator[pa.RecordBatch], vocabulary, fresh) -> Iterator[pa
                 held = []
     if held:
         _train(learner, held)
-    for which, table_ in enumerate((learner.model.by_class, learner.words)):
+    for level, (table_, whole) in enumerate(zip(learner.model.weights, learner.energy, strict=True)):
         for lo in range(0, len(table_), BLOCK):
-            seen = learner.seen[which][lo : lo + BLOCK]
-            if seen.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([which], pa.int32()), "block": pa.array([lo], pa.int32()), "weights": pa.array([table_[lo : lo + BLOCK].tobytes()], pa.binary()), "seen": pa.array([seen.tobytes()], pa.binary())})
+            energy = whole[lo : lo + BLOCK] - np.float32(LEAST_ENERGY)
+            if energy.any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([level], pa.int32()), "block": pa.array([lo], pa.int32()), "weights": pa.array([table_[lo : lo + BLOCK].tobytes()], pa.binary()), "energy": pa.array([energy.tobytes()], pa.binary())})
 
 
 def _train(learner: Learner, held: list[tuple]) -> None:
@@ -316,11 +308,12 @@ def _train(learner: Learner, held: list[tuple]) -> None:
 
 
 def _averaged(rows: pa.Table) -> pa.Table:
-    seen = np.stack([np.frombuffer(x) for x in rows["seen"].to_pylist()])
-    weights = np.stack([np.frombuffer(x, np.float32).reshape(seen.shape[1], -1) for x in rows["weights"].to_pylist()])
-    share = seen / np.maximum(seen.sum(axis=0), 1)
-    mean = (weights * share[:, :, None]).sum(axis=0).astype(np.float32)
-    return pa.table({"part": rows["part"][:1], "block": rows["block"][:1], "weights": pa.array([mean.tobytes()], pa.binary())})
+    energy = [np.frombuffer(x, np.float32) for x in rows["energy"].to_pylist()]
+    whole = np.maximum(np.sum(energy, axis=0), 1e-30)
+    mean = 0
+    for x, own in zip(rows["weights"].to_pylist(), energy, strict=True):
+        mean = mean + np.frombuffer(x, np.float32).reshape(len(own), -1) * (own / whole)[:, None]
+    return pa.table({"part": rows["part"][:1], "block": rows["block"][:1], "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
 def learners(n_tokens: int) -> int:
@@ -329,9 +322,9 @@ def learners(n_tokens: int) -> int:
 
 def train(texts: DataFrame, vocabulary, fresh, n_tokens: int) -> MaxEnt:
     """texts: doc_id and text (binary) of the training rows, with n_tokens in all; vocabulary: a broadcast; fresh: gives an untrained model."""
-    parts = texts.coalesce(learners(n_tokens)).mapInArrow(lean(lambda it: _learned(it, vocabulary, fresh)), "part int, block int, weights binary, seen binary")
+    parts = texts.coalesce(learners(n_tokens)).mapInArrow(lean(lambda it: _learned(it, vocabulary, fresh)), "part int, block int, weights binary, energy binary")
     model = fresh()
-    tables = model.by_class, model.by_word.reshape(-1, CLASS_WORDS)
+    tables = model.weights
     for row in parts.groupBy("part", "block").applyInArrow(_averaged, "part int, block int, weights binary").toLocalIterator():
         table_ = tables[row["part"]]
         got = np.frombuffer(row["weights"], np.float32).reshape(-1, table_.shape[1])
@@ -357,7 +350,7 @@ def _scored(source: Iterator[pa.RecordBatch], vocabulary, model, log_mass: np.nd
             base = log_count[texts.number]
             logs = m.log10(texts)
             logs[texts.tail] += base[texts.tail] - log_mass[texts.cell[texts.tail]]
-            known = texts.number < v.size
+            known = (texts.number < v.size) & ((texts.number >= 0) | v.has_ends)
             edges = [*texts.first, texts.n]
             words = list(texts.new)
             rows = []
@@ -388,18 +381,16 @@ def score(docs: DataFrame) -> DataFrame:
         types[tail_cell(word)] -= 1
     mass = cells + ALPHA * (types + 1)
     log_mass = np.log10(mass)
-    class_counts = np.zeros(N_CLASSES)
-    class_counts[END_CLASS] = totals["ends"]
-    class_counts[: -(-own.head // CLASS_WORDS)] = [head[i : i + CLASS_WORDS].sum() for i in range(0, own.head, CLASS_WORDS)]
-    class_counts[HEAD_CLASSES:END_CLASS] = cells.reshape(TAIL_CLASSES, CLASS_WORDS).sum(axis=1)
-    known_classes = -(-own.head // CLASS_WORDS)
+    leaves = np.zeros((N_CLASSES, CLASS_WORDS))
+    leaves.ravel()[: own.head] = head + ALPHA
+    leaves[HEAD_CLASSES:END_CLASS] = mass.reshape(TAIL_CLASSES, CLASS_WORDS)
+    leaves[END_CLASS, 0] = totals["ends"] + ALPHA
 
     def fresh() -> MaxEnt:
-        return MaxEnt(class_counts, head, mass, class_rows(totals["V"]))
+        return MaxEnt(leaves, (class_rows(totals["V"]), word_rows(totals["V"])))
 
     vocabulary = spark.sparkContext.broadcast(own)
     trained = train(training.select("doc_id", F.col("text").cast("binary")), vocabulary, fresh, totals["N"])
-    trained.class_bias[known_classes:HEAD_CLASSES] = -1e9  # classes without words
     model = spark.sparkContext.broadcast(trained)
     partial = text_rows(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(lean(lambda it: _scored(it, vocabulary, model, log_mass)), _SCORED_DDL)
     partial = stored(partial.withColumn("row_no", F.monotonically_increasing_id()))

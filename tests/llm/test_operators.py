@@ -435,19 +435,11 @@ def test_base_scores_and_gain(spark):
     assert np.mean(gain) > 0
 
 
-def test_model_sums_to_one():
-    rng = np.random.default_rng(7)
-    words = [(f"w{i}".encode(), 64 + lm_score.tail_class(f"w{i}".encode()), int(n)) for i, n in enumerate(sorted(rng.integers(1, 90, 300), reverse=True))]
-    own = lm_score.Vocabulary(words, 20)
-    model = lm_score.MaxEnt(np.where(np.arange(97) < 5, 50.0, 3.0), np.array([n for *_, n in words], float))
-    model.class_bias[5:64] = -1e9
-    model.by_class += rng.normal(size=model.by_class.shape).astype(np.float32)
-    model.by_word += rng.normal(size=model.by_word.shape).astype(np.float32)
-    texts = lm_score.Texts([b"w1 w2 w3"], own)
-    f, g = model.class_features(texts.features), model.word_features(texts.features)
-    p = np.exp(model.class_logs(f)[1])
-    inside = [np.exp(model.word_logs(g[:, [1]], np.array([c]))).sum() for c in range(5)]
-    assert p.sum() == pytest.approx(1, abs=1e-5) and inside == pytest.approx([1] * 5, abs=1e-5)
+def test_counts_without_training_rows(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = lm_score.score(documents(spark, [(ids[0], "a b"), (ids[1], None)])).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows) == [(1, 0, 0), (3, 0, 0)]
+    assert all(math.isfinite(r["score"]) for r in rows)
 
 
 def test_empty_tables(spark):
