@@ -11,9 +11,10 @@ agree in one of BANDS bands of ROWS registers share a bucket: 0.8 similar ones m
 probability 5e-5. Links are then sought without listing the pairs of a bucket:
 - every node is verified against the smallest node of each of its buckets, and links are joined to
   components;
-- buckets that still hold several components are dealt in blocks, and their members stream past: every
-  pair of different components whose signatures agree well enough to be similar at four standard
-  deviations is verified on the spot, in the first band that it shares, unless links found meanwhile have joined it.
+- buckets that still hold several components are cut in blocks, and each two blocks meet in a tile, a task's
+  work whose size doesn't follow the bucket's: every pair of different components whose signatures agree well
+  enough to be similar at almost six standard deviations (all but 1e-8 of such pairs, next to what banding
+  loses) is verified on the spot, in the first band that it shares, unless links found meanwhile have joined it.
 Verified is always the exact similarity of both texts' shingles, and only links leave a task.
 
 Plan: one pass over the texts writes a node, band keys and a signature for each document; other
@@ -43,9 +44,11 @@ from refsift.llm.components import components
 from refsift.llm.shingles import WordHashes, mixed, normal_key, probability_jaccard, shingles, text_shingles, weighted, words
 
 REGISTERS, BANDS, ROWS, THRESHOLD = 128, 25, 5, 0.8
-#: Signatures of pairs as similar as the threshold agree in less than this with probability 5e-5.
-LEAST_AGREEMENT = 0.66
-BLOCK_ROWS, BLOCK_CHARS, BROADCAST_ROWS = 2048, 16 << 20, 1_000_000
+#: Signatures of pairs as similar as the threshold agree in less than this with probability 1e-8.
+LEAST_AGREEMENT = 0.59
+#: Tile (i, j) of a bucket has the number i * TILES + j.
+TILES = 1 << 31
+BLOCK_ROWS, BLOCK_CHARS, BROADCAST_ROWS = 768, 16 << 20, 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,9 +165,10 @@ def _agreement(mine: np.ndarray, others: np.ndarray, band: int) -> np.ndarray:
     return agree
 
 
-def _buckets(source: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tuple[int, list[tuple], list[tuple], np.ndarray]]:
-    """Rows (band, key, block, kind, ...), a block's members first, then all of its bucket, as (band, block,
-    rows of the bucket, agreement of these with the block). The signature is the last but one of what follows."""
+def _buckets(source: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tuple[int, bool, list[tuple], list[tuple], np.ndarray]]:
+    """Rows (band, key, tile, kind, ...), one block's first, then the other's (itself again, in a tile of one block), as
+    (band, whether the tile has two blocks, the one, some rows of the other, agreement of these with the one). What
+    follows kind is node, component and signature, then anything."""
     held, block, ready, stream = None, [], None, []
 
     def signatures(rows: list[tuple]) -> np.ndarray:
@@ -175,13 +179,13 @@ def _buckets(source: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tup
             if (band, key, number) != held or len(stream) >= chunk:
                 if stream and block:
                     ready = signatures(block) if ready is None else ready
-                    yield held[0], block, stream, _agreement(signatures(stream), ready, held[0])
+                    yield held[0], held[2] // TILES != held[2] % TILES, block, stream, _agreement(signatures(stream), ready, held[0])
                 stream = []
             if (band, key, number) != held:
                 held, block, ready = (band, key, number), [], None
             (stream if kind else block).append(tuple(row))
     if stream and block:
-        yield held[0], block, stream, _agreement(signatures(stream), signatures(block) if ready is None else ready, held[0])
+        yield held[0], held[2] // TILES != held[2] % TILES, block, stream, _agreement(signatures(stream), signatures(block) if ready is None else ready, held[0])
 
 
 _LEAST = int(np.ceil(LEAST_AGREEMENT * REGISTERS))
@@ -189,7 +193,7 @@ _LEAST = int(np.ceil(LEAST_AGREEMENT * REGISTERS))
 
 def _active(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which of the rows (node, component, signature) agree with one of another component: their band and node."""
-    for band, block, stream, agree in _buckets(source):
+    for band, _, block, stream, agree in _buckets(source):
         apart = np.array([r[1] for r in stream], object)[:, None] != np.array([r[1] for r in block], object)[None, :]
         near = (agree >= _LEAST) & apart
         nodes = sorted({stream[i][0] for i in np.flatnonzero(near.any(axis=1))} | {block[j][0] for j in np.flatnonzero(near.any(axis=0))})
@@ -213,7 +217,7 @@ def _links(source: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
             component = parent[component]
         return component
 
-    for _, block, stream, agree in _buckets(source):
+    for _, two, block, stream, agree in _buckets(source):
         if block is not held:
             held, bags, parent = block, {}, {}
         found = []
@@ -221,7 +225,7 @@ def _links(source: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
             near = np.flatnonzero(agree[i] >= _LEAST)
             for j in near[np.argsort(-agree[i][near], kind="stable")]:
                 other = block[j]
-                if row[0] < other[0] and root(row[1]) != root(other[1]) and probability_jaccard(bag(row), bag(other)) >= threshold:
+                if (two or row[0] < other[0]) and root(row[1]) != root(other[1]) and probability_jaccard(bag(row), bag(other)) >= threshold:
                     found.append((other[0], row[0]))
                     parent[root(other[1])] = root(row[1])
         if len(bags) > 2 * len(block) + 1024:
@@ -243,11 +247,13 @@ def remaining_links(members: DataFrame, labels: DataFrame, signatures: DataFrame
 
     def dealt(rows: DataFrame, sizes: DataFrame, *columns: str) -> DataFrame:
         placed = rows.join(sizes.select("band", "key", "blocks"), ["band", "key"])
-        one = placed.select("band", "key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), *columns)
-        each = placed.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), *columns)
-        return one.unionByName(each).repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "kind")
+        own = F.pmod(F.xxhash64("node"), "blocks").cast("long")
+        place = lambda other, kind: F.struct((F.least(own, other) * TILES + F.greatest(own, other)).alias("tile"), kind.cast("int").alias("kind"))
+        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: place(o, own > o))
+        each = placed.select("band", "key", F.inline(F.concat(others, F.array(place(own, F.lit(1))))), *columns)
+        return each.repartition("band", "key", "tile").sortWithinPartitions("band", "key", "tile", "kind")
 
-    blocks = lambda n: F.ceil(n).cast("int").alias("blocks")
+    blocks = lambda n: F.ceil(n).cast("long").alias("blocks")
     first = dealt(known.join(signatures, "node"), several.select("band", "key", blocks(F.col("n") / BLOCK_ROWS)), "node", "component", "signature")
     active = first.mapInArrow(lean(_active), "band int, node binary").distinct()
     rows = stored(known.join(active, ["band", "node"]))
@@ -258,7 +264,8 @@ def remaining_links(members: DataFrame, labels: DataFrame, signatures: DataFrame
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id), node and kept (whether the row stands for its class) of every row."""
+    """doc_id, class_id (the class's smallest doc_id), component (which tells classes apart that share that id, or have none),
+    node and kept (whether the row stands for its class) of every row."""
     sketched = stored(sketches(docs))
     nodes = sketched.filter(F.col("bands").isNotNull()).dropDuplicates(["node"])
     placed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -288,7 +295,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     # The smallest id of all; without any, the smallest node.
     named = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
-    return rows.join(named, "component").select("doc_id", F.col("first.doc_id").alias("class_id"), "node", is_first.alias("kept"))
+    return rows.join(named, "component").select("doc_id", F.col("first.doc_id").alias("class_id"), "component", "node", is_first.alias("kept"))
 
 
 def unique_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -332,8 +339,12 @@ def _texts(docs: DataFrame, ids: DataFrame, wanted: DataFrame, side) -> DataFram
     return found.select("node", "text").dropDuplicates(["node"])
 
 
+def class_sizes(classes: DataFrame) -> DataFrame:
+    """doc_id, class_id and class_size of every row of classes."""
+    sizes = classes.groupBy("component").agg(F.count("*").alias("class_size"))
+    return classes.select("doc_id", "class_id", "component").join(sizes, "component").select("doc_id", "class_id", "class_size")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: its class, and how many documents that holds."""
-    classes = duplicate_classes(table(spark, sf_dir, "documents"))
-    sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return classes.select("doc_id", "class_id").join(sizes, "class_id").select("doc_id", "class_id", "class_size")
+    return class_sizes(duplicate_classes(table(spark, sf_dir, "documents")))
