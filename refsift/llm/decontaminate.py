@@ -9,9 +9,10 @@ Most windows are settled by bounds, computed for a whole document at once: the s
 maxima in each cell of items. Those that could reach the threshold are searched by block-max WAND, which gives every item at or above it. An item found
 is confirmed if enough of its question's and of its answer's word trigrams stand in the window.
 
-Plan: one pass over the documents without a shuffle; the index of up to SHARD_ITEMS items goes along
-with the tasks, and a larger benchmark is searched shard by shard. Windows are worked off in stretches,
-so that a long text takes no more memory than a short one.
+Plan: one pass over the documents without a shuffle; the index of up to SHARD_ITEMS items and SHARD_CHARS
+characters goes along with the tasks, and a larger benchmark is searched shard by shard. Document frequencies,
+mean and longest length are those of the whole benchmark in every shard, so answers don't depend on the cut.
+Windows are worked off in stretches, so that a long text takes no more memory than a short one.
 
 Cases: null texts are empty and match nothing; items without words match nothing; repeated documents
 and items are rows of their own; null ids are carried along; without documents or items there are no
@@ -23,19 +24,20 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refsift.llm.common import batches, kept_rows, lean, table, text_rows
+from refsift.llm.common import batches, bounded_batches, kept_rows, lean, stored, table, text_rows
 from refsift.llm.shingles import words
 
 K1, B, BLOCK, THRESHOLD, OVERLAP, GRAM = 1.2, 0.75, 8, 0.55, 0.5, 3
 #: The table of bounds has at most TABLE_CELLS numbers; a stretch of text is bounded by STRETCH_CELLS.
-SHARD_ITEMS, TABLE_CELLS, STRETCH_CELLS = 100_000, 1 << 23, 1 << 20
+SHARD_ITEMS, SHARD_CHARS, TABLE_CELLS, STRETCH_CELLS = 100_000, 64 << 20, 1 << 23, 1 << 20
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -60,21 +62,32 @@ def overlap(wanted: set[tuple[bytes, ...]], parts: list[bytes]) -> float:
     return len(wanted & grams(parts, len(next(iter(wanted))))) / len(wanted)
 
 
+class Whole(NamedTuple):
+    """What an index takes from all items: how many, their mean and longest length in words, and the document frequencies of its words."""
+
+    n: int
+    mean: float
+    longest: int
+    df: Mapping[bytes, int]
+
+
 class ItemIndex:
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], whole: Whole | None = None):
+        """whole: of the benchmark, where items are only a shard of it."""
         held = [(i, t, w) for i, t in items if (w := words(t))]
         self.ids = [i for i, _, _ in held]
         self.qa = [tuple(map(grams, question_and_answer(t))) for _, t, _ in held]
-        n, mean = len(held), sum(len(w) for *_, w in held) / max(1, len(held))
-        df = Counter(t for *_, w in held for t in set(w))
-        idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
-        postings: dict[bytes, list[tuple[int, float]]] = {t: [] for t in sorted(df)}
+        n, own = len(held), Counter(t for *_, w in held for t in set(w))
+        if whole is None:
+            whole = Whole(n, sum(len(w) for *_, w in held) / max(1, n), max((len(w) for *_, w in held), default=1), own)
+        idf = {t: math.log(1 + (whole.n - whole.df[t] + 0.5) / (whole.df[t] + 0.5)) for t in own}
+        postings: dict[bytes, list[tuple[int, float]]] = {t: [] for t in sorted(own)}
         for k, (*_, w) in enumerate(held):
-            impact = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()}
-            whole = sum(impact.values())
+            impact = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / whole.mean)) for t, c in Counter(w).items()}
+            sum_ = sum(impact.values())
             for t, x in impact.items():
-                postings[t].append((k, x / whole))
-        self.longest = max((len(w) for *_, w in held), default=1)
+                postings[t].append((k, x / sum_))
+        self.longest = whole.longest
         self.terms = {t: i for i, t in enumerate(postings)}
         self.items = [[k for k, _ in p] for p in postings.values()]
         self.impacts = [[x for _, x in p] for p in postings.values()]
@@ -173,13 +186,32 @@ _HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa
 _HITS_DDL = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
+def _lengths_and_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in source:
+        parts = [words(t) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(len, parts)), pa.int64()), pa.array([sorted(set(w)) for w in parts], pa.list_(pa.binary()))], ["n", "words"])
+
+
 def indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
     """An index for each shard of the benchmark."""
+    bounded_batches(benchmark.sparkSession)
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"))
-    shards = max(1, math.ceil(items.count() / SHARD_ITEMS))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    shards = max(1, math.ceil(size["n"] / SHARD_ITEMS), math.ceil(size["chars"] / SHARD_CHARS))
+    order = lambda rows: sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if shards == 1:
+        yield ItemIndex(order(items.collect()))
+        return
+    # Row numbers deal repeated items to all shards; stored, they stay what they are.
+    dealt = stored(items.withColumn("shard", F.monotonically_increasing_id())).withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(shards)))
+    read = lambda rows: rows.select("text").mapInArrow(lean(_lengths_and_words), "n long, words array<binary>")
+    told = read(dealt).filter("n > 0").agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+    frequencies = stored(read(dealt).select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")))
     for shard in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()
-        yield ItemIndex(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        rows = dealt.filter(F.col("shard") == shard)
+        own = read(rows).select(F.explode("words").alias("w")).distinct()
+        df = {bytes(r["w"]): r["df"] for r in frequencies.join(own, "w", "left_semi").toLocalIterator()}
+        yield ItemIndex(order(rows.collect()), Whole(told["n"], told["mean"] or 0.0, told["longest"] or 1, df))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
