@@ -10,7 +10,8 @@ match can only start there where the one before it ended, which \G allows), and
 quantifiers keep no way back.
 
 Plan: a scan and a projection, without shuffle, aggregation or Python. The arrays of matches stay
-in a projection of their own, as later ones refer to them more than once.
+in a projection of their own, as later ones refer to them more than once. Offsets are running sums, taken
+in runs of about the square root of their number, so that many spans in one text don't cost their square.
 
 Cases: null texts are empty; an empty text has no spans; null or repeated doc_ids are kept as rows
 of their own; other columns are ignored. Spans of one kind never overlap; those of different kinds
@@ -19,6 +20,8 @@ may. Offsets are code points, end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,18 +72,45 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cuts(values: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """The numbers of runs of about as many values as there are runs, and the run of a number."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+    numbers = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return numbers, lambda k: F.slice(values, k * size + 1, size)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op of 0 and the values up to each. A fold that appends copies its array at every step, so it only runs over runs of
+    about the square root of their number, each from where those before it end."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+
+    def folded(part: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], x))).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        numbers, part = _cuts(v)
+        ends = F.transform(numbers, lambda k: F.aggregate(part(k), zero, op))
+        starts = _let(ends, lambda e: F.transform(numbers, lambda k: F.aggregate(F.slice(e, 1, k), zero, op)))
+        return _let(starts, lambda at: F.flatten(F.transform(numbers, lambda k: folded(part(k), F.get(at, k)))))
+
+    return _let(values, whole)
+
+
 def _located(pieces: Column, matches: Column) -> Column:
     """Matches with their offsets and what stands around them."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>").alias("out"))
+    lengths = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: (F.length(m) + F.length(p)).cast("long"))
 
-    def step(acc: Column, i: Column) -> Column:
-        value, before, after = F.get(matches, i), F.get(pieces, i), F.get(pieces, i + 1)
-        begin = acc["at"] + F.length(before)
-        span = F.struct(begin.alias("start"), (begin + F.length(value)).alias("end"), value.alias("value"), F.right(before, F.lit(CONTEXT_CHARS)).alias("before"), F.left(after, F.lit(CONTEXT_CHARS)).alias("after"))
-        return F.struct((begin + F.length(value)).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(end: Column, value: Column, i: Column) -> Column:
+        before, after = F.get(pieces, i), F.get(pieces, i + 1)
+        return F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), F.right(before, F.lit(CONTEXT_CHARS)).alias("before"), F.left(after, F.lit(CONTEXT_CHARS)).alias("after"))
 
-    each = F.when(F.size(matches) > 0, F.sequence(F.lit(0), F.size(matches) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(each, start, step, lambda acc: acc["out"])
+    return _let(running(lengths, lambda a, b: a + b), lambda ends: F.transform(matches, lambda m, i: span(F.get(ends, i), m, i)))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -130,16 +160,23 @@ def redact(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
         F.transform(F.filter(_tagged(tuple(PATTERNS)), lambda s: s["score"] >= min_score), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind")))
     )
     found = with_spans(held).select("row", "text", spans.alias("spans"))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["minus_end"]
-        apart = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.array(F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), (acc["at"] + 1).cast("int"))))
-    done = found.select("row", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text"))
+    reach = running(F.transform("spans", lambda s: (-s["minus_end"]).cast("long")), lambda a, b: F.greatest(a, b))
+    reached = found.select("*", reach.alias("reach"))
+    # The first span of each group that overlaps, and where the group before it ends.
+    each = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.when(i > 0, F.get("reach", i - 1)).otherwise(0).cast("long").alias("after")))
+    grouped = reached.select("*", F.filter(each, lambda s: s["start"] >= s["after"]).alias("first"))
+    numbers, part = _cuts(F.col("first"))
+    text = F.col("text")
+    between = lambda whole, lo, hi: F.substr(whole, (lo + 1).cast("int"), (hi - lo).cast("int"))
+
+    def replaced(run: Column) -> Column:
+        # A run's own stretch of the text is cut out first: Spark finds a place by walking from the start.
+        base = F.get(run, F.lit(0))["after"]
+        own = between(text, base, F.element_at(run, -1)["start"])
+        return _let(own, lambda o: F.array_join(F.transform(run, lambda s: F.concat(between(o, s["after"] - base, s["start"] - base), F.lit("<"), F.upper(s["kind"]), F.lit(">"))), ""))
+
+    clean = F.concat(F.array_join(F.transform(numbers, lambda k: _let(part(k), replaced)), ""), F.substr(text, (F.element_at("reach", -1) + 1).cast("int")))
+    done = grouped.select("row", F.when(F.size("spans") > 0, clean).otherwise(text).alias("text"))
     put = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
     return done.select(*[put.get(c, F.col("row")[c]).alias(c) for c in own])
 

@@ -1,12 +1,15 @@
 """What the second round changed."""
 
+import base64
 import collections
+import json
 import random
+import re
 
 import pytest
 from test_operators import classes_by_force, documents
 
-from refsift.llm import decontaminate, near_dedup
+from refsift.llm import decontaminate, near_dedup, pii, secret_scan
 
 
 def test_every_document_has_a_row_with_its_own_class(spark):
@@ -45,3 +48,52 @@ def test_shards_give_what_one_index_gives(spark, monkeypatch, share):
     one = hits()
     monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 4)
     assert hits() == one and (one or share < 1)
+
+
+# PII and secrets
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"u{i}@ex{i % 7}.org" for i in range(3000)) + " +49 170 1234567, 10.0.0.1"
+    docs = documents(spark, [(1, text), (2, text[:900]), (3, None)])
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    want = [m.span() for m in re.finditer(r"\S+@\S+", text)]
+    assert [(s["start"], s["end"]) for s in found[1] if s["kind"] == "email"] == want and not found[3]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[1] == " ".join(["<EMAIL>"] * 3000) + " <PHONE>, <IP>" and clean[3] in (None, "")
+
+
+def test_overlapping_spans_become_one(spark):
+    text = "a 4111 1111 1111 1111@x.org b 10.0.0.1@y.org"
+    out = pii.redact(documents(spark, [(1, text)])).first()["text"]
+    spans = sorted((s["start"], -s["end"], s["kind"]) for s in pii.find_pii(documents(spark, [(1, text)])).first()["spans"])
+    want, at = "", 0
+    for start, minus, kind in spans:
+        if start >= at:
+            want += text[at:start] + f"<{kind.upper()}>"
+        at = max(at, -minus)
+    assert out == want + text[at:]
+
+
+def _b64(raw, url=False):
+    return (base64.urlsafe_b64encode if url else base64.b64encode)(raw).decode().rstrip("=")
+
+
+def test_secrets_behind_other_text():
+    token = f'{_b64(json.dumps({"alg": "HS256"}).encode(), True)}.{_b64(b'{"sub":"1234567"}', True)}.{_b64(b"s" * 32, True)}'
+    for before in ("authorization.", "a.b.c.", "token-", "x_", "=", ""):
+        text = f"see {before}{token} end"
+        assert ("jwt", 4 + len(before), 4 + len(before) + len(token)) in secret_scan.scan(text), before
+    part = lambda tag, body: bytes([tag, len(body)]) + body
+    der = b"\x02\x01\x00" + b"".join(part(2, bytes([1 + i]) * 12) for i in range(8))
+    der = b"\x30\x81" + bytes([len(der)]) + der if len(der) > 127 else b"\x30" + bytes([len(der)]) + der
+    key = _b64(der)
+    for before in ("", "certs/", "a+b/certs/"):
+        text = f"in {before}{key} end"
+        assert ("der_key", 3 + len(before), 3 + len(before) + len(key)) in secret_scan.scan(text), before
+    wrapped = base64.b64encode(der).decode()
+    for body in (f"\n{wrapped}\n", f"\\n{wrapped[:40]}\\n{wrapped[40:]}\\n", f"\nComment: mine\n\n{wrapped}\n", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + base64.b64encode(b"q" * 64).decode() + "\n"):
+        text = f"-----BEGIN RSA PRIVATE KEY-----{body}-----END RSA PRIVATE KEY-----"
+        assert ("pem_key", 0, len(text)) in secret_scan.scan(text), body
+    assert not [s for s in secret_scan.scan("-----BEGIN RSA PRIVATE KEY-----\nnot a key\n-----END RSA PRIVATE KEY----- " * 50) if s[0] == "pem_key"]
+    assert not [s for s in secret_scan.scan("word.another.thirdword " + "/M/M/M" * 2000 + "eyJ" * 500 + ".x.y") if s[0] in ("jwt", "der_key")]
