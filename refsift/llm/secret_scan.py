@@ -37,10 +37,13 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{24,}")
-_TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")
+_HEADER, _PAYLOAD, _SIGNATURE = re.compile(r"[A-Za-z0-9_-]{8,}$"), re.compile(r"[A-Za-z0-9_-]{8,}"), re.compile(r"[A-Za-z0-9_-]*")
+#: How a JSON object, a DER sequence and an OpenSSH key start in base64.
+_OBJECT, _KEY_START = re.compile("eyJ"), re.compile(r"(?<=[+/_=.-])(?:M(?=[A-P])|b3BlbnNzaC1rZXktdjEA)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----")
+_ARMOUR_HEADER = re.compile(r"\s*([A-Za-z-]+):([^\n]*)(?:\n|$)")
 
 
 def decode64(text: str) -> bytes | None:
@@ -143,6 +146,63 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
+def _tokens(run: str) -> Iterator[tuple[int, int]]:
+    """Signed tokens of a run. Any three dotted parts in a row may be one; what stands before a header in its part
+    (a word and a dash, say) isn't of it, so the part is also tried from each place where an object may start."""
+    dots = [-1, *(m.start() for m in re.finditer(r"\.", run)), len(run)]
+    i = 0
+    while i + 3 < len(dots):
+        header = _HEADER.search(run, dots[i] + 1, dots[i + 1])
+        if header and _PAYLOAD.fullmatch(run, dots[i + 1] + 1, dots[i + 2]):
+            end = _SIGNATURE.match(run, dots[i + 2] + 1, dots[i + 3]).end()
+            starts = [header.start(), *(m.start() for m in _OBJECT.finditer(run, header.start() + 1, dots[i + 1]))]
+            if (start := next((x for x in starts if is_signed_token(run[x:end])), None)) is not None:
+                yield start, end
+                i += 2  # the third part is taken
+        i += 1
+
+
+def _embedded_keys(run: str) -> Iterator[tuple[str, int, int]]:
+    """Keys that start inside a base64 run, behind a character that may also be part of a path; their own lengths say where they end."""
+    done = 0
+    for m in _KEY_START.finditer(run):
+        if m.start() < done:
+            continue
+        rest = run[m.start() :] if m[0] != "M" else run[m.start() : m.start() + _der_chars(run[m.start() : m.start() + 12])]
+        if kind := _key_kind(decode64(rest)):
+            done = m.start() + len(rest)
+            yield kind, m.start(), done
+
+
+def _der_chars(start: str) -> int:
+    """How many base64 characters a DER element takes, padding apart, by its first bytes."""
+    data = decode64(start[: len(start) // 4 * 4])
+    if not data or len(data) < 6:
+        return 0
+    n = data[1] & 0x7F if data[1] >= 0x80 else 0
+    size = int.from_bytes(data[2 : 2 + n], "big") + 2 + n if 0 < n <= 4 else data[1] + 2 if not n else 0
+    return -(-size * 4 // 3)
+
+
+def _armoured(text: str) -> Iterator[tuple[int, int]]:
+    """Armoured private keys whose body passes: line ends may be escaped, headers may stand before it. An encrypted
+    body has no structure of its own; it passes if its headers say so and it fills whole cipher blocks."""
+    for m in _ARMOUR.finditer(text):
+        following = text.find("-----BEGIN ", m.end())
+        mark = f"-----END {m[1]}-----"
+        end = text.find(mark, m.end(), following if following >= 0 else len(text))
+        if end < 0:
+            continue
+        body, headers = text[m.end() : end].replace("\\r", "").replace("\\n", "\n"), {}
+        while header := _ARMOUR_HEADER.match(body):
+            headers[header[1]] = header[2]
+            body = body[header.end() :]
+        data = decode64("".join(body.split()))
+        locked = "ENCRYPTED" in headers.get("Proc-Type", "") and "DEK-Info" in headers
+        if _key_kind(data) or locked and data and len(data) >= 32 and len(data) % 8 == 0:
+            yield m.start(), end + len(mark)
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text, by start, then kind as KINDS lists them."""
     found: list[tuple[int, int, int]] = []
@@ -160,19 +220,20 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         at, value = run.start(), run[0]
         for m in _HEX.finditer(value):
             add("hex", at + m.start(), at + m.end())
-        for m in _TOKEN.finditer(value):
-            if is_signed_token(m[0]):
-                add("jwt", at + m.start(), at + m.end())
+        for start, end in _tokens(value) if "." in value else ():
+            add("jwt", at + start, at + end)
         for m in _BASE64.finditer(value):
             if kind := _key_kind(decode64(m[0])):
                 add(kind, at + m.start(), at + m.end())
+            else:
+                for kind, start, end in _embedded_keys(m[0]):
+                    add(kind, at + m.start() + start, at + m.start() + end)
         for m in _ANY_HEX.finditer(value):
             if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
                 add(kind, at + m.start(), at + m.end())
     if "-----BEGIN " in text:
-        for m in _ARMOUR.finditer(text):
-            if _key_kind(decode64("".join(m[2].split()))):
-                add("pem_key", m.start(), m.end())
+        for start, end in _armoured(text):
+            add("pem_key", start, end)
     return [(KINDS[k], start, end) for start, k, end in sorted(set(found))]
 
 
