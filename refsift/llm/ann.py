@@ -22,8 +22,8 @@ Plan: one shuffle by vector (classes), one by list and block (search), two small
 (merge). Broadcast are the centroids and the sample, both bounded.
 
 Cases: vectors that are null, zero, of another than the most frequent length (of ties, the smallest) or
-with null or non-finite components take no part, nor do rows with a null id; repeated ids are
-rows of their own, and no row is a candidate to a query with its id; ties go to the smaller id; with fewer
+with null or non-finite components take no part, nor do rows with a null id; rows of repeated ids
+are rows of their own, each a candidate to the others; ties go to the smaller id; with fewer
 candidates than k all are returned; an empty table gives no rows; other columns are ignored.
 """
 
@@ -207,14 +207,27 @@ def _searched(index: Index):
 
 def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row of rows (vec_id, vector) for which
-    is_query holds, the k rows of other ids with the largest inner products found."""
+    is_query holds, the k other rows with the largest inner products found."""
+    asking = rows.select("vec_id", "vector", is_query.alias("asked"))
+    if rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        return _search(asking, k)
+    # Where ids repeat, rows are numbered in the order of their ids, and go by these numbers.
+    numbered = stored(asking.orderBy("vec_id").withColumn("row_no", F.monotonically_increasing_id()))
+    found = _search(numbered.select(F.col("row_no").alias("vec_id"), "vector", "asked"), k)
+    named = lambda column: numbered.select(F.col("row_no").alias(column), F.col("vec_id").alias(f"{column}_id"))
+    back = found.withColumnRenamed("query_id", "query").withColumnRenamed("vec_id", "vec").join(named("query"), "query").join(named("vec"), "vec")
+    return back.select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, k: int) -> DataFrame:
+    """search of rows with ids that don't repeat."""
     classes = stored(
         rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id")))
         .filter(F.col("n") <= k + 1)
         .groupBy("vector")
         .agg(F.min("vec_id").alias("class_id"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     )
-    asked = stored(rows.filter(is_query).join(classes.select("vector", "class_id"), "vector").select(F.col("class_id").alias("query_class"), F.col("vec_id").alias("query_id"), "vector"))
+    asked = stored(rows.filter("asked").join(classes.select("vector", "class_id"), "vector").select(F.col("class_id").alias("query_class"), F.col("vec_id").alias("query_id"), "vector"))
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n = classes.count()
     if not n:

@@ -3,13 +3,17 @@
 import base64
 import collections
 import json
+import math
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import classes_by_force, documents
 
-from refsift.llm import decontaminate, near_dedup, pii, secret_scan
+from refsift.llm import ann, decontaminate, near_dedup, pii, quality, secret_scan
 
 
 def test_every_document_has_a_row_with_its_own_class(spark):
@@ -97,3 +101,49 @@ def test_secrets_behind_other_text():
         assert ("pem_key", 0, len(text)) in secret_scan.scan(text), body
     assert not [s for s in secret_scan.scan("-----BEGIN RSA PRIVATE KEY-----\nnot a key\n-----END RSA PRIVATE KEY----- " * 50) if s[0] == "pem_key"]
     assert not [s for s in secret_scan.scan("word.another.thirdword " + "/M/M/M" * 2000 + "eyJ" * 500 + ".x.y") if s[0] in ("jwt", "der_key")]
+
+
+# Nearest neighbours and quality
+
+
+def test_rows_of_one_id_are_candidates_to_each_other(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(60, 8)).tolist()
+    ids = [0, 0, 0, *range(1, 58)]
+    rows = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(ann.vectors(rows), F.col("vec_id") % 20 == 0, 5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    x = np.array(vectors)
+    want = collections.defaultdict(list)
+    for q in (i for i, v in enumerate(ids) if v % 20 == 0):
+        order = sorted((-float(x[q] @ x[c]), ids[c]) for c in range(60) if c != q)[:5]
+        want[ids[q]] += [(n, v, round(-s, 9)) for n, (s, v) in enumerate(order, 1)]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_quality_scores_equal_plain_arithmetic(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choices(["good", "words", "here"], k=30)) if i % 2 else "!!! " * rng.randint(1, 60)) for i in range(400)] + [(None, None), (400, "long " * 60_000), (401, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    docs = documents(spark, texts)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"], r["predicted"]) for r in quality.classify(docs, labels).collect())
+    # The same model by one least-squares solution over all training rows, and pooled adjacent violators in a loop.
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % quality.FOLDS
+    stats = {i: np.array(quality.statistics((t or "").encode())) for i, t in texts}
+    known = [i for i in range(400) if fold(i) != quality.HELD_FOLD]
+    fit, held = [i for i in known if fold(i) != quality.CALIBRATION_FOLD], [i for i in known if fold(i) == quality.CALIBRATION_FOLD]
+    x, y = np.array([stats[i] for i in fit]), np.array([i % 2 for i in fit], float)
+    model = quality.Model(x.mean(0), x.std(0) + 1e-6, np.zeros(quality.FEATURES + 1), np.zeros(quality.BINS), 0.5)
+    z = model.features(x)
+    ridge = math.sqrt(len(fit) * quality.RIDGE / quality.FEATURES) * np.eye(z.shape[1])
+    model.weights = np.linalg.lstsq(np.vstack([z, ridge]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+    at = model.bins(model.raw(np.array([stats[i] for i in held])))
+    pools = [[float((at == b).sum()), float(sum(i % 2 for i, a in zip(held, at, strict=True) if a == b)), 1] for b in range(quality.BINS)]
+    model.raised = quality.isotonic(np.array([p[0] for p in pools]), np.array([p[1] for p in pools]))
+    want = sorted((i is None, i or 0, float(model.score(stats[i][None])[0])) for i, _ in texts)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=0.02)
+    assert all(g[3] == (g[2] >= 0.3) for g in got)
+    kept = {r["doc_id"] for r in quality.accepted(docs, labels).collect()}
+    assert kept == {None if g[0] else g[1] for g in got if g[3]}
