@@ -188,13 +188,18 @@ def train(labelled: DataFrame) -> Model:
     return model
 
 
-def labelled_rows(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The training rows: labels outside the held-out fold, with their documents' statistics."""
+def known_labels(labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """doc_id and label outside the held-out fold; max_rows of them or so."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("double").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (id_fold(F.col("doc_id"), FOLDS) != HELD_FOLD))
     known = known.groupBy("doc_id").agg(F.avg("label").alias("label"))
     share = min(1.0, max_rows / max(1, known.count()))
     if share < 1:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return known
+
+
+def labelled_rows(stats: DataFrame, known: DataFrame) -> DataFrame:
+    """The training rows: known labels with their documents' statistics."""
     rows = stats.join(known, "doc_id").select("stats", "label", (id_fold(F.col("doc_id"), FOLDS) == CALIBRATION_FOLD).alias("calibration"))
     return rows.coalesce(TRAIN_PARTITIONS)
 
@@ -209,21 +214,24 @@ def scored(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return out.select("doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD_FOLD).alias("held_out"), "score", "predicted")
 
 
-def fitted(stats: DataFrame, labels: DataFrame) -> Model:
-    rows = stored(labelled_rows(stats, labels))
+def fitted(stats: DataFrame, known: DataFrame) -> Model:
+    rows = stored(labelled_rows(stats, known))
     return train(rows.coalesce(TRAIN_PARTITIONS))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs without the rows scored below the threshold; each row is judged by its own text."""
-    model = fitted(stored(document_statistics(docs)), labels)
+    known = stored(known_labels(labels))  # MAX_TRAIN_ROWS rows or so, whatever the input, hence broadcast
+    ids = F.broadcast(known.select(F.col("doc_id").alias("known_id")))
+    taught = docs.join(ids, docs["doc_id"].cast("long") == ids["known_id"], "left_semi")
+    model = fitted(document_statistics(taught), known)
     return kept_rows(docs, lambda texts: model.score(np.array([statistics(t.encode()) for t in texts]).reshape(-1, N_STATS)) >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     stats = stored(document_statistics(docs))
-    return scored(stats, fitted(stats, labels), threshold)
+    return scored(stats, fitted(stats, known_labels(labels)), threshold)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
