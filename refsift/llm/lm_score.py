@@ -41,7 +41,7 @@ from refsift.llm.common import id_fold, lean, stored, table, text_rows
 
 FOLDS, HELD_FOLD, ALPHA = 10, 0, 0.1
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES, SUFFIX = 64, 64, 32, 3
-LOOKUP_WORDS, LEARNERS, LEARNER_TOKENS = 200_000, 256, 6_000_000
+LOOKUP_WORDS, LEARNERS, LEARNER_TOKENS = 200_000, 256, 9_000_000
 CLASS_BUCKETS, WORD_BUCKETS, BLOCK, RATE, BATCH, LEAST_ENERGY = 8192, 512, 4096, 0.3, 2048, 1e-3
 MOST_BUCKETS, MOST_WORD_BUCKETS, WORDS_A_ROW = 65536, 1024, 8
 END = b"\n"  # no word can hold it

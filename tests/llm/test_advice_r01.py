@@ -90,4 +90,4 @@ def test_class_rows_follow_the_words():
 
 
 def test_learners_follow_the_tokens():
-    assert [lm_score.learners(n) for n in (0, 1, 6_000_001, 10**12)] == [1, 1, 2, lm_score.LEARNERS]
+    assert [lm_score.learners(n) for n in (0, 1, 9_000_001, 10**12)] == [1, 1, 2, lm_score.LEARNERS]
