@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from refsift.sources.payloads import candidates_of, icml_volume, note_authors, note_date, repository, volume_ids
+from refsift.sources.pages import icml_volume, note_authors, note_date, tree, volume_ids
+from refsift.sources.payloads import candidates_of, repository
 
 LI = '<ul><li> (2021) <a href="/paper/abc-Abs.html">A <i>Fine</i> Title</a> Ann Lee, Bob Ray and Cy Poe</li></ul>'
 DT = '<dt class="ptitle"><br><a href="/x/Lee_Fine_paper.html">A Fine Title</a></dt><dd><input name="query_author" value="Ann Lee"><input name="query_author" value="Bob Ray"></dd>'
@@ -70,7 +71,7 @@ def test_details(answers):
 
 def test_page_helpers():
     page = '<body><p><a href="1">Ann Lee</a>, <a>Bob Ray*</a>, Cy Poe*</p> — Mar 4, 2024</body>'
-    assert note_authors(page) == ["Ann Lee", "Bob Ray", "Cy Poe"] and note_date(page) == "Mar 4, 2024"
+    assert note_authors(tree(page)) == ["Ann Lee", "Bob Ray", "Cy Poe"] and note_date(tree(page)) == "Mar 4, 2024"
     events = '<a href="/events/acl-2022">2022</a><a href=/volumes/2022.acl-long/>x</a><a href="/events/acl-2021/">2021</a><a href="/volumes/2021.acl-long/">x</a><a href="/volumes/2021.acl-long/">x</a>'
     assert volume_ids(events, "acl", 2021) == ["2021.acl-long"] and volume_ids(events, "acl", 2020) == []
     assert icml_volume(2015) == 37 and icml_volume(2024) == 235
