@@ -48,7 +48,7 @@ REGISTERS, BANDS, ROWS, THRESHOLD = 128, 25, 5, 0.8
 LEAST_AGREEMENT = 0.59
 #: Tile (i, j) of a bucket has the number i * TILES + j.
 TILES = 1 << 31
-BLOCK_ROWS, BLOCK_CHARS, BROADCAST_ROWS = 768, 16 << 20, 1_000_000
+BLOCK_ROWS, BLOCK_CHARS, BROADCAST_ROWS, LARGE_CLASS = 768, 16 << 20, 1_000_000, 1024
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,7 +265,7 @@ def remaining_links(members: DataFrame, labels: DataFrame, signatures: DataFrame
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the class's smallest doc_id), component (which tells classes apart that share that id, or have none),
-    node and kept (whether the row stands for its class) of every row."""
+    class_size (rows), node and kept (whether the row stands for its class) of every row."""
     sketched = stored(sketches(docs))
     nodes = sketched.filter(F.col("bands").isNotNull()).dropDuplicates(["node"])
     placed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -292,10 +292,18 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
         rows = rows.withColumn("component", F.col("node"))
     else:
         rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = stored(rows)
     # The smallest id of all; without any, the smallest node.
-    named = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first")
+    named = stored(rows.groupBy("component").agg(first, F.count("*").alias("class_size")))
+    # Rows of a large class don't meet in one task: there are few such classes, and they go to where the rows are.
+    large = named.filter(F.col("class_size") > LARGE_CLASS)
+    if 0 < large.count() <= BROADCAST_ROWS:
+        whole = rows.join(F.broadcast(large), "component").unionByName(rows.join(F.broadcast(large.select("component")), "component", "left_anti").join(named.filter(F.col("class_size") <= LARGE_CLASS), "component"))
+    else:
+        whole = rows.join(named, "component")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
-    return rows.join(named, "component").select("doc_id", F.col("first.doc_id").alias("class_id"), "component", "node", is_first.alias("kept"))
+    return whole.select("doc_id", F.col("first.doc_id").alias("class_id"), "component", "class_size", "node", is_first.alias("kept"))
 
 
 def unique_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -339,12 +347,6 @@ def _texts(docs: DataFrame, ids: DataFrame, wanted: DataFrame, side) -> DataFram
     return found.select("node", "text").dropDuplicates(["node"])
 
 
-def class_sizes(classes: DataFrame) -> DataFrame:
-    """doc_id, class_id and class_size of every row of classes."""
-    sizes = classes.groupBy("component").agg(F.count("*").alias("class_size"))
-    return classes.select("doc_id", "class_id", "component").join(sizes, "component").select("doc_id", "class_id", "class_size")
-
-
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: its class, and how many documents that holds."""
-    return class_sizes(duplicate_classes(table(spark, sf_dir, "documents")))
+    return duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")

@@ -16,11 +16,13 @@ from test_operators import classes_by_force, documents
 from refsift.llm import ann, decontaminate, near_dedup, pii, quality, secret_scan
 
 
-def test_every_document_has_a_row_with_its_own_class(spark):
+@pytest.mark.parametrize("large", [1, 1024])
+def test_every_document_has_a_row_with_its_own_class(spark, monkeypatch, large):
+    monkeypatch.setattr(near_dedup, "LARGE_CLASS", large)
     text = " ".join(f"w{i}" for i in range(50))
     other = " ".join(f"v{i}" for i in range(50))
     texts = [(5, text), (5, other), (None, "alone one two three four five"), (None, "other one two three four six"), (None, None), (7, text)]
-    got = near_dedup.class_sizes(near_dedup.duplicate_classes(documents(spark, texts))).collect()
+    got = near_dedup.duplicate_classes(documents(spark, texts)).collect()
     assert sorted((r["doc_id"] or -1, r["class_id"] or -1, r["class_size"]) for r in got) == [(-1, -1, 1), (-1, -1, 1), (-1, -1, 1), (5, 5, 1), (5, 5, 2), (7, 5, 2)]
 
 
