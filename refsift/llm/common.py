@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,46 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refsift.shared import dropped, shared_dir, stored  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a temporary folder; a cluster gets an error,
-    since a machine's own folder would lose rows there.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if place is None:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = kept.get() if kept.isDefined() else None
-    if place is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="refsift-checkpoints-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/refsift-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table that stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Rows and bytes of an Arrow batch, so that what a Python worker holds doesn't follow the length of texts.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
