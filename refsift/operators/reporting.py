@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +31,78 @@ def issues(results: DataFrame) -> DataFrame:
     return results.filter(F.col("status") != VALIDATED).select("key", problems(F.col("reasons"), said).alias("problems"))
 
 
-def issue_summary(found: DataFrame, missing: DataFrame) -> DataFrame:
-    """One row: how many issues, and which cited keys have no entry."""
-    n = found.agg(F.count("*").alias("issue_count"))
-    lost = missing.agg(F.array_sort(F.collect_set("key")).alias("missing_citation_keys"))
-    return n.join(lost)
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _listed(rows: DataFrame, part: int) -> DataFrame:
+    """rows: at, without repeats, and text, a JSON value. All but the first come after a comma."""
+    first = F.broadcast(rows.agg(F.min("at").alias("_first")))
+    return rows.join(first).select(F.lit(part).alias("part"), "at", F.concat(F.when(F.col("at") == F.col("_first"), "").otherwise(","), "text").alias("text"))
+
+
+def _said(rows: DataFrame, part: int, text: Column) -> DataFrame:
+    """One line of a document, of a frame with one row."""
+    return rows.select(F.lit(part).alias("part"), F.lit("").alias("at"), text.alias("text"))
+
+
+def _document(start: Column, heads: DataFrame, missing: DataFrame, name: str, values: DataFrame, end: Column) -> DataFrame:
+    keys = missing.select("key").distinct().select(F.col("key").alias("at"), _quoted(F.col("key")).alias("text"))
+    parts = (_said(heads, 0, F.concat(start, F.lit('"missing_citation_keys":['))), _listed(keys, 1), _said(heads, 2, F.lit(f'],"{name}":[')), _listed(values, 3), _said(heads, 4, F.concat(F.lit("]"), end, F.lit("}"))))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def run_report(results: DataFrame, missing: DataFrame, log_file: str, issues_file: str) -> DataFrame:
+    """part, at and text: in this order one JSON document with missing_citation_keys, results, log_file and issues_file.
+    Each result is a row of its own: nothing is gathered, whatever their number. results have a row for each key."""
+    one = results.sparkSession.range(1)
+    each = result_json(results).select(F.col("key").alias("at"), F.col("json").alias("text"))
+    files = F.concat(F.lit(',"log_file":'), _quoted(F.lit(log_file)), F.lit(',"issues_file":'), _quoted(F.lit(issues_file)))
+    return _document(F.lit("{"), one, missing, "results", each, files)
+
+
+def issues_report(found: DataFrame, missing: DataFrame, bib: str) -> DataFrame:
+    """As run_report, a document with bib, issue_count, missing_citation_keys and issues. found: what issues() gives."""
+    n = found.agg(F.count("*").alias("n"))
+    start = F.concat(F.lit('{"bib":'), _quoted(F.lit(bib)), F.lit(',"issue_count":'), F.col("n").cast("string"), F.lit(","))
+    each = found.select(F.col("key").alias("at"), F.to_json(F.struct("key", "problems")).alias("text"))
+    return _document(start, n, missing, "issues", each, F.lit(""))
+
+
+#: The order of the groups in a summary; validated results are only counted.
+GROUPS = ("likely_hallucination", "needs_review", "unconfirmed", VALIDATED)
+
+
+def final_summary(results: DataFrame) -> DataFrame:
+    """part, at and text: for each status its count, and under it its results by key, numbered, with title, authors and
+    reasons. results: key, status, title, authors and reasons; other columns stay out."""
+    place = F.array_position(F.array(*[F.lit(g) for g in GROUPS]), F.col("status"))
+    empty = (F.col("n") == 0) & (F.col("status") != VALIDATED)
+    heads = status_counts(results).select(place.cast("int").alias("part"), F.lit("").alias("at"), F.concat("status", F.lit(" ("), F.col("n").cast("string"), F.lit(")"), F.when(empty, "\n  none").otherwise("")).alias("text"))
+    number = running_counts(results).select("key", F.col("of_status").cast("string").alias("number"))
+    or_none = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "none").otherwise(c)
+    lines = F.concat(
+        F.array(F.concat(F.lit("  "), "number", F.lit(". title: "), or_none(F.col("title"))), F.concat(F.lit("     authors: "), or_none(F.array_join("authors", "; "))), F.lit("     reasons:")),
+        F.transform(F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit("none"))), lambda r: F.concat(F.lit("       - "), r)),
+    )
+    named = results.filter(F.col("status") != VALIDATED).join(number, "key")
+    return heads.unionByName(named.select(place.cast("int").alias("part"), F.col("key").alias("at"), F.array_join(lines, "\n").alias("text")))
+
+
+def written(lines: DataFrame, path: str) -> None:
+    """lines: part, at and text. Text files that give the document if read in the order of their names."""
+    lines.orderBy("part", "at").select("text").write.text(path)
+
+
+def tee(lines: DataFrame, path: str, say: Callable[[str], None] = print) -> None:
+    """Write lines and say them as well; the driver holds one partition at a time."""
+    written(lines, path)
+    for row in lines.orderBy("part", "at").select("text").toLocalIterator():
+        say(row["text"])
 
 
 def status_counts(results: DataFrame) -> DataFrame:
