@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refsift.functions import authors as A
+from refsift.functions import browser
 from refsift.functions import text as T
 from refsift.functions.similarity import dice, sequence_ratio, token_score
 from refsift.operators import lookup, reporting, worklist
 from refsift.operators.consolidate import evidence_score
-from refsift.operators.entries import specific_title
+from refsift.operators.entries import entry_columns, specific_title
 from refsift.operators.scoring import composite, version_key
-from refsift.plans import stages
-from refsift.plans.engine import check
+from refsift.plans import requests, stages
+from refsift.plans.engine import check, counted
 from refsift.plans.registry import DEFAULT_SOURCES, calls
 from refsift.sources.bibtex import entries_of
 from refsift.sources.latex import closure, document_keys
+from refsift.sources.records import function_answers, parsed, record_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -375,10 +377,16 @@ def early_exit(spark, sf_dir):
     return stages.kept_observations(lines).select("key", "stage")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) FILTER (WHERE event_type <> 'error') AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY user_id")
+@query("SELECT user_id, count(DISTINCT event_type) FILTER (WHERE event_type <> 'error') AS completed, count(*) FILTER (WHERE event_type = 'click') AS authoritative_misses, bool_or(event_type = 'error') AS failed FROM events GROUP BY user_id")
 def source_counters(spark, sf_dir):
-    failed = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_distinct(F.when(~failed, F.col("event_type"))).alias("completed"), F.count_if(failed).alias("failed"))
+    """Events as calls: a user is an entry, each type of event a source."""
+    kinds = F.array(*[F.lit(x) for x in ("view", "signup", "click", "error", "purchase")])
+    failed, no = F.col("event_type") == "error", F.lit(False)
+    calls_ = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"), F.col("event_type").alias("source"), F.array_position(kinds, F.col("event_type")).cast("int").alias("source_idx"), F.lit("title").alias("mode"),
+        F.when(failed, "error").otherwise("ok").alias("outcome"), F.col("event_id").cast("string").alias("error"), no.alias("no_match"), (F.col("event_type") == "click").alias("misses"),
+    )
+    return counted(calls_).select(F.col("key").alias("user_id"), "completed", "authoritative_misses", F.map_contains_key("provider_errors", F.lit("error:title")).alias("failed"))
 
 
 _STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'validated' WHEN 'O' THEN 'needs_review' ELSE 'unconfirmed' END"
@@ -408,6 +416,136 @@ def batch_time_alloc(spark, sf_dir):
     return times.select("batch_no", "item", F.round("elapsed", 6).alias("elapsed"), F.round("average", 6).alias("average"))
 
 
+@query(
+    f"""WITH r AS (SELECT o_orderkey::VARCHAR AS key, {_STATUS_SQL} AS status, o_orderpriority AS title FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY key) AS i FROM r),
+g AS (SELECT * FROM (VALUES (1, 'likely_hallucination'), (2, 'needs_review'), (3, 'unconfirmed'), (4, 'validated')) v(part, status))
+SELECT part, key AS at, '  ' || i || '. title: ' || title || chr(10) || '     authors: A; B' || chr(10) || '     reasons:' || chr(10) || '       - none' AS text FROM n JOIN g USING (status) WHERE status <> 'validated'
+UNION ALL SELECT part, '', g.status || ' (' || count(key) || ')' || CASE WHEN count(key) = 0 AND g.status <> 'validated' THEN chr(10) || '  none' ELSE '' END FROM g LEFT JOIN r USING (status) GROUP BY part, g.status"""
+)
+def summary_groups(spark, sf_dir):
+    status = _statuses(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("title")), "key")
+    return reporting.final_summary(status.select(F.col("key").cast("string").alias("key"), "status", "title", F.array(F.lit("A"), F.lit("B")).alias("authors"), F.array().cast("array<string>").alias("reasons")))
+
+
+@query(
+    """SELECT 0 AS part, '' AS at, '{"bib":"x.bib","issue_count":' || (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') || ',"missing_citation_keys":[' AS text
+UNION ALL SELECT 1, n_name, CASE WHEN n_name = (SELECT min(n_name) FROM nation) THEN '' ELSE ',' END || '"' || n_name || '"' FROM nation UNION ALL SELECT 2, '', '],"issues":['
+UNION ALL SELECT 3, o_orderkey::VARCHAR, CASE WHEN o_orderkey::VARCHAR = min(o_orderkey::VARCHAR) OVER () THEN '' ELSE ',' END || '{"key":"' || o_orderkey || '","problems":["' || o_orderpriority || '"]}' FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 4, '', ']}'"""
+)
+def issues_document(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").cast("string").alias("key"), F.array("o_orderpriority").alias("problems"))
+    return reporting.issues_report(found, table(spark, sf_dir, "nation").select(F.col("n_name").alias("key")), "x.bib")
+
+
+# Sources of one's own, requests
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all parts with title, year, an arXiv identifier where the key divides by 3 and a repository where by 5."""
+    k = F.col("p_partkey")
+    text = lambda when, value: F.when(when, value).otherwise("")
+    fields = F.create_map(
+        F.lit("title"), F.concat_ws(" ", "p_type", k.cast("string")), F.lit("year"), (F.col("p_size") % 16 + 2010).cast("string"),
+        F.lit("eprint"), text(k % 3 == 0, F.concat(F.lit("2001."), F.lpad((k % 100000).cast("string"), 5, "0"))),
+        F.lit("howpublished"), text(k % 5 == 0, F.concat(F.lit("code at https://github.com/"), F.when(k % 2 == 0, "topics").otherwise("lee"), F.lit("/r"), (k % 40).cast("string"), F.lit(".git."))),
+    )
+    return table(spark, sf_dir, "part").select(k.cast("string").alias("key"), F.lit("article").alias("entry_type"), fields.alias("fields"))
+
+
+@query(
+    "SELECT key, mode, title FROM (SELECT p_partkey::VARCHAR AS key, CASE WHEN p_partkey % 4 = 0 THEN p_brand WHEN p_partkey % 4 = 1 THEN p_type || ' ' || p_partkey END AS title FROM part), (VALUES ('identifier'), ('title')) v(mode)"
+)
+def record_files(spark, sf_dir):
+    """Each part's file: a list, records under a title's key, an object of records without any that fits, or no records at all."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    title = F.concat_ws(" ", "p_type", k.cast("string"))
+    text = (
+        F.when(k % 4 == 0, F.format_string('{"title:%s": {"title": "%s"}, "x": 1}', F.lower(title), "p_brand"))
+        .when(k % 4 == 1, F.format_string('[{"title": "%s", "year": 2020, "authors": ["A B"]}, 7]', title))
+        .when(k % 4 == 2, F.format_string('{"records": [{"title": "none like %s"}], "*": {"title": "%s"}}', title, title))
+        .otherwise("null")
+    )
+    said = record_answers(_titled(spark, sf_dir), parsed(p.select(text.alias("text"))), "local", 0)
+    return said.select("key", "mode", F.get("candidates", F.lit(0))["title"].alias("title"))
+
+
+@query(
+    "SELECT p_partkey::VARCHAR AS key, mode, CASE WHEN mode = 'applies' OR p_partkey % 4 = 2 THEN 'error' ELSE 'ok' END AS outcome, CASE WHEN mode <> 'applies' AND p_partkey % 4 <> 2 THEN p_type || ' ' || p_partkey END AS title FROM part, (VALUES ('identifier'), ('title'), ('applies')) v(mode) WHERE p_partkey % 4 <> 0 AND (mode = 'applies') = (p_partkey % 4 = 3)"
+)
+def function_source(spark, sf_dir):
+    """A function that doesn't apply, fails, or cannot say whether it applies, each for a fourth of the parts."""
+
+    def kind(entry):
+        return int(entry["key"]) % 4
+
+    def find(entry):
+        if kind(entry) == 2:
+            raise ValueError("no answer")
+        return [{"title": entry["fields"]["title"]}]
+
+    def applies(entry):
+        if kind(entry) == 3:
+            raise ValueError("no field")
+        return kind(entry) != 0
+
+    said = function_answers(_titled(spark, sf_dir), find, "mine", 0, applies)
+    return said.select("key", "mode", "outcome", F.get("candidates", F.lit(0))["title"].alias("title"))
+
+
+@query(
+    """WITH e AS (SELECT p_partkey::VARCHAR AS key, '2001.' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') AS a FROM part WHERE p_partkey % 3 = 0)
+SELECT key, 0 AS step, 0 AS part, 'https://arxiv.org/abs/' || a AS url FROM e UNION ALL SELECT key, 0, 1, 'https://arxiv.org/abs/' || a || 'v1' FROM e
+UNION ALL SELECT key, 1, 0, 'https://export.arxiv.org/api/query?id_list=' || a || '%2C' || a || 'v1&max_results=2' FROM e"""
+)
+def requests_arxiv(spark, sf_dir):
+    return requests.arxiv_requests(entry_columns(_titled(spark, sf_dir))).filter("mode = 'identifier'").select("key", "step", "part", "url")
+
+
+@query(
+    """WITH v AS (SELECT * FROM (VALUES (2013, 28), (2014, 32), (2015, 37), (2016, 48)) x(year, volume))
+SELECT p_partkey::VARCHAR AS key, step, v.year, 'https://proceedings.mlr.press/v' || volume || '/' AS url FROM part, (VALUES (0), (1)) s(step) JOIN v ON p_size % 16 + 2010 - step = v.year"""
+)
+def requests_icml(spark, sf_dir):
+    volumes = {2013: 28, 2014: 32, 2015: 37, 2016: 48}
+    return requests.icml_requests(entry_columns(_titled(spark, sf_dir)), volumes).select("key", "step", "year", "url")
+
+
+@query(
+    """SELECT DISTINCT CASE WHEN p_partkey % 10 = 5 THEN 'https://api.github.com/repos/lee/r' || p_partkey % 40 ELSE 'https://api.github.com/search/repositories?q=' || replace(p_type || ' ' || p_partkey, ' ', '+') || '&per_page=5' END AS url
+FROM part WHERE NOT (p_partkey % 10 = 5 AND p_partkey % 40 < 10)"""
+)
+def requests_once(spark, sf_dir):
+    """Repositories that many entries name are asked for once; those that are held, not at all."""
+    asked = requests.github_requests(entry_columns(_titled(spark, sf_dir)))
+    held = spark.range(10).select(F.concat(F.lit("https://api.github.com/repos/lee/r"), F.col("id").cast("string")).alias("url"), F.lit(requests.GITHUB_JSON).alias("accept"))
+    return requests.distinct_requests(asked, held).select("url")
+
+
+# The browser's variant
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, string_split(lower(p_type), ' ') AS w FROM part),
+n AS (SELECT a.k, a.w[3] = b.w[3] AS family, CASE WHEN a.k % 3 = 0 THEN '' WHEN a.k % 3 = 1 THEN a.w[1][1] ELSE a.w[1][1] || a.w[2][1] END AS i, b.w[1][1] || b.w[2][1] AS j FROM p a JOIN p b ON b.k = a.k + 1)
+SELECT k, family AND starts_with(j, i) AS same FROM n"""
+)
+def browser_names(spark, sf_dir):
+    """The words of a part's type as a name, with none, one or two of its given names, against the next part's whole name."""
+    part = table(spark, sf_dir, "part")
+    k, w = F.col("p_partkey"), F.split("p_type", " ")
+    short = F.when(k % 3 == 0, w[2]).when(k % 3 == 1, F.concat(w[2], F.lit(", "), F.substring(w[0], 1, 1), F.lit("."))).otherwise(F.col("p_type"))
+    a, b = part.select(k.alias("k"), short.alias("a")), part.select((k - 1).alias("k"), F.col("p_type").alias("b"))
+    return a.join(b, "k").select("k", browser.names_match(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("SELECT l_orderkey AS k, bool_or(l_discount >= 0.05 AND (l_tax >= 0.05 OR l_linenumber = 2)) AS decides, max(floor(l_discount * l_tax * 1000 + 0.5) / 1000) AS best FROM lineitem GROUP BY 1")
+def browser_decides(spark, sf_dir):
+    one = F.struct((F.when(F.col("l_discount") >= 0.05, 0.9).otherwise(0.5)).alias("title_score"), (F.col("l_linenumber") == 2).alias("identifier_match"), (F.col("l_tax") * 10).alias("author_score"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), one.alias("c"), browser.half_up3(F.col("l_discount") * F.col("l_tax")).alias("s"))
+    return rows.groupBy("k").agg(F.collect_list("c").alias("c"), F.max("s").alias("best")).select("k", browser.decides(F.col("c")).alias("decides"), "best")
+
+
 # Files
 
 
