@@ -526,13 +526,14 @@ def requests_once(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT p_partkey AS k, string_split(lower(p_type), ' ') AS w FROM part),
+    """WITH p AS (SELECT p_partkey AS k, string_split(lower(p_type || ' ' || p_name), ' ') AS w FROM part),
 n AS (SELECT a.k, a.w[3] = b.w[3] AS family, CASE WHEN a.k % 3 = 0 THEN '' WHEN a.k % 3 = 1 THEN a.w[1][1] ELSE a.w[1][1] || a.w[2][1] END AS i, b.w[1][1] || b.w[2][1] AS j FROM p a JOIN p b ON b.k = a.k + 1)
 SELECT k, family AND starts_with(j, i) AS same FROM n"""
 )
 def browser_names(spark, sf_dir):
-    """The words of a part's type as a name, with none, one or two of its given names, against the next part's whole name."""
-    part = table(spark, sf_dir, "part")
+    """Type and name of a part as a person's name, with none, one or two given names, against the next part's whole one."""
+    whole = F.concat_ws(" ", "p_type", "p_name")
+    part = table(spark, sf_dir, "part").select("p_partkey", whole.alias("p_type"))
     k, w = F.col("p_partkey"), F.split("p_type", " ")
     short = F.when(k % 3 == 0, w[2]).when(k % 3 == 1, F.concat(w[2], F.lit(", "), F.substring(w[0], 1, 1), F.lit("."))).otherwise(F.col("p_type"))
     a, b = part.select(k.alias("k"), short.alias("a")), part.select((k - 1).alias("k"), F.col("p_type").alias("b"))
