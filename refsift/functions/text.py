@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import pandas as pd
@@ -68,17 +68,30 @@ def _folds() -> tuple[str, str, str]:
     return "".join(one) + "".join(gone), "".join(one.values()), "".join(several)
 
 
+def _ranges(chars: Iterable[str]) -> str:
+    """Characters as the inside of a class of a pattern."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
 def _folded(text: Column) -> Column:
     """Case and accents away; characters without a Latin letter or digit in them stay, for a pattern to drop."""
     before, after, several = _folds()
-    known = F.lit(several)
+    known, longer = F.lit(several), F.lit(rf"((?=[^\x00-\x7F])[{_ranges(x[0] for x in several.split(chr(1))[1:])}])")
 
     def spelled(char: Column) -> Column:
         mark = F.concat(F.lit("\x01"), char, F.lit("\x02"))
-        return F.when(F.contains(known, mark), F.substring_index(F.call_function("substring_index", known, mark, F.lit(-1)), "\x01", 1)).otherwise(char)
+        return F.substring_index(F.call_function("substring_index", known, mark, F.lit(-1)), "\x01", 1)
 
     def beyond_ascii(t: Column) -> Column:
-        return F.lower(F.translate(F.array_join(F.transform(F.split(t, ""), spelled), ""), before, after))
+        # Few texts hold characters that become several; each of those is replaced in the whole text.
+        held = F.array_distinct(F.regexp_extract_all(t, longer, 1))
+        return F.lower(F.translate(F.aggregate(held, t, lambda acc, char: F.replace(acc, char, spelled(char))), before, after))
 
     return let(text, lambda t: F.when(t.rlike(r"^[\x00-\x7F]*$"), F.lower(t)).otherwise(beyond_ascii(t)))
 
