@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refsift.llm import ann, chat_format, decontaminate, hard_negatives, lm_score, near_dedup, packing, pii, quality, secret_scan, url_filter
+from refsift.llm import ann, chat_format, decontaminate, hard_negatives, lm_score, merkle, near_dedup, packing, pii, quality, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": quality.op9_quality,
     "op10_lm_score": lm_score.op10_lm_score,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op8_pii": pii.ORACLE_SQL,
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
