@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refsift.llm import ann, chat_format, decontaminate, hard_negatives, lm_score, merkle, near_dedup, packing, pii, quality, secret_scan, url_filter
+from refsift.llm import ann, chat_format, decontaminate, hard_negatives, lm_score, merkle, near_dedup, packing, pii, quality, secret_scan, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": lm_score.op10_lm_score,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
