@@ -1,4 +1,4 @@
-"""What the first round's advice found missing."""
+"""How the language model learns."""
 
 import types
 
