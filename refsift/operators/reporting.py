@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from refsift.operators.comparing import differences
 from refsift.schema import STATUSES, VALIDATED
+from refsift.shared import dropped, stored
 
 CANDIDATE_FIELDS = ("source", "title", "authors", "year", "venue", "url", "identifier", "score", "title_score", "author_score", "year_score", "identifier_match", "evidence", "conflicts")
 
@@ -112,39 +113,45 @@ def status_counts(results: DataFrame) -> DataFrame:
     return order.join(results.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("position", "status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def ranges(rows: DataFrame, by: str, per_range: int = 100_000, most: int = 1024) -> Column:
-    """Number of the range of `by` that a row is in; ranges follow each other. Their bounds come from a sample, which
-    changes how even they are, not what anything counted in them gives."""
-    wanted = min(most, -(-rows.count() // per_range))
-    if wanted <= 1:
-        return F.lit(0)
-    found = rows.filter(F.col(by).isNotNull()).sample(min(1.0, 20 / per_range), 1).select(by).distinct().orderBy(by).limit(most * 40).toPandas()[by].tolist()
-    bounds = found[:: max(1, len(found) // wanted)]
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(by))) if bounds else F.lit(0)
+#: Rows of a range, and into how many ranges an order is cut at most (as many as Spark shuffles to, if that is more than one).
+RANGE_ROWS = 5_000
 
 
-def running(rows: DataFrame, by: str, sums: dict[str, Column], group: str | None = None, including: bool = True) -> DataFrame:
-    """rows with running sums in the order of `by` (in each group, where one is named), the row's own included or not.
+def in_order(rows: DataFrame, by: str, range_rows: int | None = None) -> DataFrame:
+    """rows, written in the order of `by`, with their number in it (_at) and that of their range (_range). Spark cuts the order into
+    ranges, so no bounds go through the driver; a value of `by` that many rows have is cut as well, by a number of theirs."""
+    kept, number = stored(rows), F.monotonically_increasing_id()
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(most, -(-kept.count() // (range_rows or RANGE_ROWS))))
+    ordered = kept.withColumn("_tie", number).repartitionByRange(n, by, "_tie").sortWithinPartitions(by, "_tie").withColumn("_at", number).drop("_tie")
+    found = stored(ordered.withColumn("_range", F.shiftrightunsigned("_at", 33)))
+    dropped(kept)
+    return found
+
 
-    Each range is summed by a task of its own and starts from the sum of those before it: one row for each range and
-    group meets in one window, never the table.
-    """
-    placed = rows.withColumn("_range", ranges(rows, by))
+def scanned(placed: DataFrame, sums: dict[str, Column], group: str | None = None, including: bool = True) -> DataFrame:
+    """placed, as in_order() gives it, with running sums, in each group where one is named, the row's own included or not. What meets in one
+    window is a range, or one row for each range (and group), never the table."""
     groups = [group] if group else []
     totals = placed.groupBy(*groups, "_range").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
-    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*[F.col(g).alias("_group") for g in groups], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_s_{name}") for name in sums])
-    inside = Window.partitionBy(*groups, "_range").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow if including else -1)
+    earlier = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(totals.select(*[F.col(g).alias("_group") for g in groups], F.col("_range").alias("_of"), *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_s_{name}") for name in sums]))
+    inside = Window.partitionBy(*groups, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow if including else -1)
     own = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_o_{name}") for name, c in sums.items()])
-    same = F.col("_range") == F.col("_at")
-    joined = own.join(F.broadcast(starts), same & F.col(group).eqNullSafe(F.col("_group")) if group else same)
-    return joined.select(*rows.columns, *[(F.col(f"_o_{name}") + F.col(f"_s_{name}")).alias(name) for name in sums])
+    same = F.col("_range") == F.col("_of")
+    joined = own.join(starts, same & F.col(group).eqNullSafe(F.col("_group")) if group else same)
+    return joined.select(*placed.columns, *[(F.col(f"_o_{name}") + F.col(f"_s_{name}")).alias(name) for name in sums])
+
+
+def running(rows: DataFrame, by: str, sums: dict[str, Column], group: str | None = None, including: bool = True) -> DataFrame:
+    """rows with running sums in the order of `by` (in each group, where one is named). Rows of equal `by` come one after another, in any order."""
+    return scanned(in_order(rows, by), sums, group, including).select(*rows.columns, *sums)
 
 
-def running_counts(results: DataFrame, by: str = "key") -> DataFrame:
+def running_counts(results: DataFrame, by: str = "key", range_rows: int | None = None) -> DataFrame:
     """key, status, index of each result in order, and how many of its status there are so far."""
-    numbered = running(results.select(by, "status"), by, {"index": F.lit(1)})
-    counted = running(numbered, by, {"of_status": F.lit(1)}, "status")
+    placed = in_order(results.select(by, "status"), by, range_rows)
+    counted = scanned(scanned(placed, {"index": F.lit(1)}), {"of_status": F.lit(1)}, "status")
     return counted.select(by, "status", F.col("index").cast("int").alias("index"), "of_status")
 
 

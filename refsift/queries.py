@@ -547,6 +547,21 @@ def browser_decides(spark, sf_dir):
     return rows.groupBy("k").agg(F.collect_list("c").alias("c"), F.max("s").alias("best")).select("k", browser.decides(F.col("c")).alias("decides"), "best")
 
 
+# Running sums over many ranges
+
+
+@query(
+    """WITH r AS (SELECT lpad(l_orderkey::VARCHAR, 9, '0') || '-' || l_linenumber AS k, max(l_returnflag) AS flag, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1)
+SELECT k, flag, q, row_number() OVER (ORDER BY k) AS place, CAST(sum(q) OVER (PARTITION BY flag ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS of_flag FROM r"""
+)
+def running_sums_lineitem(spark, sf_dir):
+    """Place of every order line, and what its return flag comes to so far, in the order of a computed key."""
+    key = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.col("l_linenumber").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(key.alias("k")).agg(F.max("l_returnflag").alias("flag"), F.sum("l_quantity").cast("long").alias("q"))
+    placed = reporting.scanned(reporting.in_order(rows, "k"), {"place": F.lit(1).cast("long")})
+    return reporting.scanned(placed, {"of_flag": F.col("q")}, "flag").select("k", "flag", "q", "place", "of_flag")
+
+
 # Files
 
 
