@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from refsift.llm.common import bounded_batches, dropped, lean, stored, table
 
 LENGTH, GRAM, HOT_PIECES, COLLECTION_BYTES, HASH_BLOCK, WIDTHS = 200, 64, 4096, 60_000, 1 << 17, (8, 4, 2, 1)
+#: How many pieces a task puts in order, on the whole.
+TASK_PIECES = 4096
 #: A piece holds as many starts as the strings that can share one gram's place.
 PIECE_STARTS = LENGTH - GRAM + 1
 
@@ -347,7 +349,9 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, hot_pieces: int = HOT
     with_bytes = texts.join(wanted, "d").select("text", "wanted").mapInArrow(lean(_fetched(length)), "gram long, piece long, copies long, bytes binary")
     fetched = stored(with_bytes.join(grams.select("gram", (F.col("parts") > hot_pieces).alias("hot")), "gram"))
     parts = ["gram", "piece", "copies", "bytes"]
-    dealt = fetched.filter("NOT hot").select(*parts).repartition("gram").sortWithinPartitions("gram")
+    # By rows, not by bytes: an order costs far more than reading its pieces.
+    tasks = max(1, -(-fetched.count() // TASK_PIECES))
+    dealt = fetched.filter("NOT hot").select(*parts).repartition(tasks, "gram").sortWithinPartitions("gram")
     by_order = dealt.mapInArrow(lean(_in_collections(length)), FLAGS_SQL)
     strings = stored(fetched.filter("hot").select(*parts).mapInArrow(lean(_strings(length)), "string binary, gram long, piece long, start int, copies long"))
     twice = strings.groupBy("string").agg(F.sum("copies").alias("n")).filter("n > 1")
