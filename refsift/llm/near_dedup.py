@@ -11,8 +11,8 @@ agree in one of BANDS bands of ROWS registers share a bucket: 0.8 similar ones m
 probability 5e-5. Links are then sought without listing the pairs of a bucket:
 - every node is verified against the smallest node of each of its buckets, and links are joined to
   components;
-- buckets that still hold several components are cut in blocks, and each two blocks meet in a tile, a task's
-  work whose size doesn't follow the bucket's: every pair of different components whose signatures agree well
+- buckets that still hold several components are cut in blocks, and each block of nodes outside the largest component
+  meets each block in a tile, a task's work whose size doesn't follow the bucket's: every pair of different components whose signatures agree well
   enough to be similar at almost six standard deviations (all but 1e-8 of such pairs, next to what banding
   loses) is verified on the spot, in the first band that it shares, unless links found meanwhile have joined it.
 Verified is always the exact similarity of both texts' shingles, and only links leave a task.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,11 +165,11 @@ def _agreement(mine: np.ndarray, others: np.ndarray, band: int) -> np.ndarray:
     return agree
 
 
-def _buckets(source: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tuple[int, bool, list[tuple], list[tuple], np.ndarray]]:
-    """Rows (band, key, tile, kind, ...), one block's first, then the other's (itself again, in a tile of one block), as
-    (band, whether the tile has two blocks, the one, some rows of the other, agreement of these with the one). What
+def _buckets(source: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tuple[int, list[tuple], list[tuple], np.ndarray, np.ndarray]]:
+    """Rows (band, key, tile, kind, ...), a block of outsiders first (kind 0), then rows of the whole bucket (2: outsiders too, else 1), as
+    (band, the block, some of these rows, which of them are outsiders, agreement of these with the block). What
     follows kind is node, component and signature, then anything."""
-    held, block, ready, stream = None, [], None, []
+    held, block, ready, stream, also = None, [], None, [], []
 
     def signatures(rows: list[tuple]) -> np.ndarray:
         return np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(len(rows), -1)
@@ -179,13 +179,17 @@ def _buckets(source: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tup
             if (band, key, number) != held or len(stream) >= chunk:
                 if stream and block:
                     ready = signatures(block) if ready is None else ready
-                    yield held[0], held[2] // TILES != held[2] % TILES, block, stream, _agreement(signatures(stream), ready, held[0])
-                stream = []
+                    yield held[0], block, stream, np.array(also), _agreement(signatures(stream), ready, held[0])
+                stream, also = [], []
             if (band, key, number) != held:
                 held, block, ready = (band, key, number), [], None
-            (stream if kind else block).append(tuple(row))
+            if kind:
+                stream.append(tuple(row))
+                also.append(kind == 2)
+            else:
+                block.append(tuple(row))
     if stream and block:
-        yield held[0], held[2] // TILES != held[2] % TILES, block, stream, _agreement(signatures(stream), signatures(block) if ready is None else ready, held[0])
+        yield held[0], block, stream, np.array(also), _agreement(signatures(stream), signatures(block) if ready is None else ready, held[0])
 
 
 _LEAST = int(np.ceil(LEAST_AGREEMENT * REGISTERS))
@@ -193,7 +197,7 @@ _LEAST = int(np.ceil(LEAST_AGREEMENT * REGISTERS))
 
 def _active(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which of the rows (node, component, signature) agree with one of another component: their band and node."""
-    for band, _, block, stream, agree in _buckets(source):
+    for band, block, stream, _, agree in _buckets(source):
         apart = np.array([r[1] for r in stream], object)[:, None] != np.array([r[1] for r in block], object)[None, :]
         near = (agree >= _LEAST) & apart
         nodes = sorted({stream[i][0] for i in np.flatnonzero(near.any(axis=1))} | {block[j][0] for j in np.flatnonzero(near.any(axis=0))})
@@ -217,7 +221,7 @@ def _links(source: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
             component = parent[component]
         return component
 
-    for _, two, block, stream, agree in _buckets(source):
+    for _, block, stream, also, agree in _buckets(source):
         if block is not held:
             held, bags, parent = block, {}, {}
         found = []
@@ -225,7 +229,7 @@ def _links(source: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
             near = np.flatnonzero(agree[i] >= _LEAST)
             for j in near[np.argsort(-agree[i][near], kind="stable")]:
                 other = block[j]
-                if (two or row[0] < other[0]) and root(row[1]) != root(other[1]) and probability_jaccard(bag(row), bag(other)) >= threshold:
+                if (not also[i] or row[0] < other[0]) and root(row[1]) != root(other[1]) and probability_jaccard(bag(row), bag(other)) >= threshold:
                     found.append((other[0], row[0]))
                     parent[root(other[1])] = root(row[1])
         if len(bags) > 2 * len(block) + 1024:
@@ -242,23 +246,37 @@ def remaining_links(members: DataFrame, labels: DataFrame, signatures: DataFrame
     with their texts, and pairs are verified where their bucket is, so that no pair is ever a row.
     """
     known = stored(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    # Buckets of two have been verified with their smallest node.
-    several = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("n > 2 AND low != high")
+
+    def sizes_of(rows: DataFrame, share: Column, chars: Column) -> DataFrame:
+        """For each bucket its largest component, and how many blocks all its rows make, and those of other components (outsiders)."""
+        parts = rows.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum(share).alias("share"), F.sum(chars).alias("chars"))
+        largest = F.max(F.struct("n", "component", "share", "chars"))
+        whole = parts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("share").alias("share"), F.sum("chars").alias("chars"), largest.alias("big"))
+        blocks = lambda rows_, chars_: F.greatest(F.ceil(F.greatest(rows_, chars_)), F.lit(1)).cast("long")
+        return whole.filter(F.col("n") > F.col("big.n")).select(
+            "band", "key", "n", F.col("big.component").alias("big"), blocks(F.col("share"), F.col("chars")).alias("blocks"), blocks(F.col("share") - F.col("big.share"), F.col("chars") - F.col("big.chars")).alias("outer")
+        )
 
     def dealt(rows: DataFrame, sizes: DataFrame, *columns: str) -> DataFrame:
-        placed = rows.join(sizes.select("band", "key", "blocks"), ["band", "key"])
-        own = F.pmod(F.xxhash64("node"), "blocks").cast("long")
-        place = lambda other, kind: F.struct((F.least(own, other) * TILES + F.greatest(own, other)).alias("tile"), kind.cast("int").alias("kind"))
-        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: place(o, own > o))
-        each = placed.select("band", "key", F.inline(F.concat(others, F.array(place(own, F.lit(1))))), *columns)
+        """Each outsider meets each row of its bucket in a tile of a block of outsiders and a block of all rows. Rows of the largest component
+        don't meet each other, so what is dealt follows the rows, but for the product of outsiders' blocks with all blocks."""
+        placed = rows.join(sizes, ["band", "key"])
+        outsider = F.col("component") != F.col("big")
+        own = lambda n: F.pmod(F.xxhash64("node"), n).cast("long")
+        every = lambda n, place: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), place)
+        tile = lambda i, j, kind: F.struct((i * TILES + j).alias("tile"), kind.cast("int").alias("kind"))
+        passing = every("outer", lambda i: tile(i, own(F.col("blocks")), F.when(outsider, 2).otherwise(1)))
+        held = F.when(outsider, every("blocks", lambda j: tile(own(F.col("outer")), j, F.lit(0)))).otherwise(F.array().cast("array<struct<tile bigint, kind int>>"))
+        each = placed.select("band", "key", F.inline(F.concat(passing, held)), *columns)
         return each.repartition("band", "key", "tile").sortWithinPartitions("band", "key", "tile", "kind")
 
-    blocks = lambda n: F.ceil(n).cast("long").alias("blocks")
-    first = dealt(known.join(signatures, "node"), several.select("band", "key", blocks(F.col("n") / BLOCK_ROWS)), "node", "component", "signature")
+    # Buckets of two have been verified with their smallest node.
+    several = sizes_of(known, F.lit(1 / BLOCK_ROWS), F.lit(0.0)).filter("n > 2")
+    first = dealt(known.join(signatures, "node"), several, "node", "component", "signature")
     active = first.mapInArrow(lean(_active), "band int, node binary").distinct()
     rows = stored(known.join(active, ["band", "node"]))
     whole = rows.join(signatures, "node").join(texts, "node")
-    sizes = rows.join(texts.select("node", F.length("text").alias("chars")), "node").groupBy("band", "key").agg(blocks(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("chars") / BLOCK_CHARS)))
+    sizes = sizes_of(rows.join(texts.select("node", F.length("text").alias("chars")), "node"), F.lit(1 / BLOCK_ROWS), F.col("chars") / BLOCK_CHARS)
     second = dealt(whole, sizes, "node", "component", "signature", "text")
     return second.mapInArrow(lean(lambda it: _links(it, threshold)), "a binary, b binary").distinct()
 

@@ -181,3 +181,33 @@ def test_removed_repeats_of_nothing(spark):
     assert suffix_dedup.removed_repeats(documents(spark, [])).collect() == []
     with pytest.raises(ValueError):
         suffix_dedup.removed_repeats(documents(spark, []), length=10)
+
+
+# 7. Tiles of buckets
+
+
+def test_rows_dealt_follow_the_bucket(spark, monkeypatch):
+    """One outsider in a bucket of one large class: twice the nodes, about twice the rows dealt."""
+    from refsift.llm import near_dedup
+
+    seen = []
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 64)
+    run = near_dedup._active
+    monkeypatch.setattr(near_dedup, "_active", lambda source: (b for b in run(source)))
+    for n in (2000, 4000):
+        node = lambda i: F.unhex(F.lpad(F.hex(i), 8, "0"))
+        members = spark.range(n).select(F.lit(0).alias("band"), F.lit(7).cast("long").alias("key"), node(F.col("id")).alias("node"))
+        labels = spark.range(1, n - 1).select(node(F.col("id")).alias("node"), node(F.lit(0)).alias("component"))
+        signature = spark.range(n).select(node(F.col("id")).alias("node"), F.unhex(F.repeat(F.lpad(F.hex(F.col("id")), 8, "0"), F.lit(128))).alias("signature"))
+        texts = spark.range(n).select(node(F.col("id")).alias("node"), F.lit("a b c d e f").alias("text"))
+        count = spark.sparkContext.accumulator(0)
+
+        def counting(source, count=count):
+            for batch in source:
+                count.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        monkeypatch.setattr(near_dedup, "_active", counting)
+        near_dedup.remaining_links(members, labels, signature, texts, 0.8).collect()
+        seen.append(count.value)
+    assert seen[0] <= 3 * 2000 and seen[1] <= 2.2 * seen[0]
