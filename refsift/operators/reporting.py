@@ -100,10 +100,12 @@ def written(lines: DataFrame, path: str) -> None:
 
 
 def tee(lines: DataFrame, path: str, say: Callable[[str], None] = print) -> None:
-    """Write lines and say them as well; the driver holds one partition at a time."""
+    """Write lines and say them as well, both from one result; the driver holds one partition at a time."""
+    lines = stored(lines)
     written(lines, path)
     for row in lines.orderBy("part", "at").select("text").toLocalIterator():
         say(row["text"])
+    dropped(lines)
 
 
 def status_counts(results: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from refsift.operators.scoring import composite, version_key
 from refsift.plans import requests, stages
 from refsift.plans.engine import check, counted
 from refsift.plans.registry import DEFAULT_SOURCES, calls
+from refsift.sources.bibsplit import split_entries
 from refsift.sources.bibtex import entries_of
 from refsift.sources.latex import closure, document_keys
 from refsift.sources.records import function_answers, parsed, record_answers
@@ -574,6 +575,21 @@ def bib_parse(spark, sf_dir):
     return entries_of(files).select("key", "entry_type", get("title").alias("title"), get("journal").alias("venue"), get("year").alias("year"))
 
 
+@query(
+    """WITH p AS (SELECT 'f' || p_partkey % 7 AS file, p_partkey AS k, p_name, p_type, p_brand FROM part), l AS (SELECT file, max(k) AS m, arg_max(p_brand, k) AS b FROM p GROUP BY file)
+SELECT file, (row_number() OVER (PARTITION BY file ORDER BY k) - 1)::INT AS pos, k::VARCHAR AS key, 'article' AS entry_type, p_name AS title, b || ' ' || p_type AS venue FROM p JOIN l USING (file) WHERE k < m"""
+)
+def bib_split(spark, sf_dir):
+    """Seven files of all parts, cut before the end of every entry; a definition that the last part makes holds for all."""
+    k = F.col("p_partkey").cast("string")
+    said = ("}", F.format_string("@string{v = {%s}} %% a comment }", "p_brand"), F.format_string("@Article{%s,", k), F.format_string(" title = {%s},", "p_name"), F.format_string(" journal = v # { %s},", "p_type"))
+    lines = F.posexplode(F.array(*[F.lit(x) if isinstance(x, str) else x for x in said])).alias("n", "line")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 7).cast("string")).alias("file"), F.col("p_partkey").cast("long").alias("start"), lines)
+    entries = split_entries(rows.repartition("file").sortWithinPartitions("file", "start", "n").select("file", "start", "line"))
+    get = lambda n: F.try_element_at("fields", F.lit(n))
+    return entries.select("file", "pos", "key", "entry_type", get("title").alias("title"), get("journal").alias("venue"))
+
+
 @query("SELECT DISTINCT 'c' || o_custkey AS key FROM orders UNION SELECT DISTINCT 'p' || o_orderpriority[1:1] FROM orders")
 def tex_cites(spark, sf_dir):
     text = F.format_string("Text \\cite[see][p. 1]{c%s} %%\\cite{no}\n\\begin{verbatim}\\cite{no}\\end{verbatim} \\verb|\\cite{no}| \\Textcites*{c%s, p%s}{} end", F.col("o_custkey").cast("string"), F.col("o_custkey").cast("string"), F.substring("o_orderpriority", 1, 1))

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+PREFIX = "refsift-"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
@@ -27,20 +32,46 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends there, and lost executors cost nothing. What
-    dropped() hasn't deleted goes when the driver ends."""
+#: Paths of the tables that are written while a scratch() is open, those to be kept apart.
+_OPEN: ContextVar[tuple[list[str], list[str]] | None] = ContextVar("open", default=None)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends there, and lost executors cost nothing. The table goes when the
+    scratch() around it closes (that around this one, with keep), or else when the driver ends, if dropped() hasn't deleted it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/refsift-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{PREFIX}{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if (now := _OPEN.get()) is not None:
+        now[keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside go at the end, but for those to be kept, which then belong to the scratch around this one, if there is one."""
+    outer, own = _OPEN.get(), ([], [])
+    token = _OPEN.set(own)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in own[False]:
+            _delete(spark, path)
+        if outer is not None:
+            outer[False].extend(own[True])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def dropped(df: DataFrame) -> None:
-    """Delete a table that stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
+    """Delete a table that stored() wrote, once nothing reads it any more; other tables are left alone."""
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = file.rpartition("/")[0]
+        if path.rpartition("/")[2].startswith(PREFIX):
+            _delete(df.sparkSession, path)

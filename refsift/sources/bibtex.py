@@ -20,7 +20,7 @@ from refsift.operators.entries import last_of_each_key, normalised
 ENTRY = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("entry_type", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
 NOT_ENTRIES = ("comment", "preamble", "string")
 _MARKS = re.compile(r'\\.|["{}(),=#]', re.DOTALL)
-_HEAD = re.compile(r"@\s*([\w-]+)\s*([{(])")
+HEAD = re.compile(r"@\s*([\w-]+)\s*([{(])")
 
 
 def without_comments(text: str) -> str:
@@ -43,11 +43,16 @@ def _unquoted(text: str, at: int) -> Iterator[tuple[int, str]]:
             yield m.start(), m[0]
 
 
-def _block_end(text: str, at: int, opener: str) -> int | None:
-    """Where the block ends whose content starts there; parentheses inside braces don't count."""
-    depth, braces = 1, 0
-    for place, mark in _unquoted(text, at):
-        if opener == "{":
+def block_end(text: str, at: int, opener: str, quoted: int = 0, depth: int = 1, braces: int = 0) -> tuple[int | None, list]:
+    """Where the block ends whose content goes on there, or None; and the state it is left in: opener, quoted, depth and, after a
+    parenthesis, braces. Parentheses inside braces don't count."""
+    for m in _MARKS.finditer(text, at):
+        mark = m[0]
+        if mark == '"':
+            quoted = 1 - quoted
+        elif quoted or mark[0] == "\\":
+            continue
+        elif opener == "{":
             depth += (mark == "{") - (mark == "}")
         elif mark == "{":
             braces += 1
@@ -56,15 +61,15 @@ def _block_end(text: str, at: int, opener: str) -> int | None:
         elif not braces:
             depth += (mark == "(") - (mark == ")")
         if not depth:
-            return place
-    return None
+            return m.start(), [opener, quoted, depth]
+    return None, ["{", quoted, depth] if opener == "{" else ["(", quoted, depth, braces]
 
 
 def blocks(text: str) -> Iterator[tuple[str, str]]:
     """Type, in lower case, and content of each block; one without an end is the last thing seen."""
     at = 0
-    while m := _HEAD.search(text, at):
-        end = _block_end(text, m.end(), m[2])
+    while m := HEAD.search(text, at):
+        end, _ = block_end(text, m.end(), m[2])
         if end is None:
             return
         yield m[1].lower(), text[m.end() : end]
@@ -125,29 +130,31 @@ class Macros:
         return " ".join("".join(p[1:-1] if _wrapped(p) else self(p) or p for p in parts).split())
 
 
-def _assignments(content: str) -> Iterator[tuple[str, str]]:
+def assignments(content: str) -> Iterator[tuple[str, str]]:
     for part in split_outside(content, ","):
         name, *rest = split_outside(part, "=", 1)
         if rest and name.strip():
             yield name.strip(), rest[0].strip()
 
 
+def entry_of(kind: str, content: str, macros: Macros) -> dict | None:
+    """A block's entry; None without a key."""
+    key, *rest = split_outside(content, ",", 1)
+    if not key.strip():
+        return None
+    fields = {name.lower(): macros.value(value) for name, value in assignments(rest[0] if rest else "")}
+    return {"key": key.strip(), "entry_type": kind, "fields": fields}
+
+
 def parse(text: str) -> list[dict]:
     """Entries of a file in order, repeated keys included, entries without a key not."""
     found = list(blocks(without_comments(text.removeprefix("\ufeff"))))
     macros = Macros()
     for kind, content in found:
         if kind == "string":
-            macros.defined.update((name.lower(), value) for name, value in _assignments(content))
-    out = []
-    for kind, content in found:
-        if kind in NOT_ENTRIES:
-            continue
-        key, *rest = split_outside(content, ",", 1)
-        if key.strip():
-            fields = {name.lower(): macros.value(value) for name, value in _assignments(rest[0] if rest else "")}
-            out.append({"pos": len(out), "key": key.strip(), "entry_type": kind, "fields": fields})
-    return out
+            macros.defined.update((name.lower(), value) for name, value in assignments(content))
+    entries = (entry_of(kind, content, macros) for kind, content in found if kind not in NOT_ENTRIES)
+    return [{"pos": pos} | e for pos, e in enumerate(e for e in entries if e)]
 
 
 @F.pandas_udf(T.ArrayType(ENTRY))
@@ -158,6 +165,11 @@ def parsed(text: pd.Series) -> pd.Series:
 def entries_of(texts: DataFrame) -> DataFrame:
     """texts: file and text. A row for each key of each file: file, pos, key, entry_type, fields."""
     each = texts.select("file", F.inline(parsed("text")))
+    return kept_entries(each)
+
+
+def kept_entries(each: DataFrame) -> DataFrame:
+    """each: file, pos, key, entry_type and fields. The last entry of each key of each file."""
     whole = each.select("file", "pos", "key", "entry_type", "fields")
     shared = whole.select("*", F.col("key").alias("_key")).withColumn("key", F.struct("file", "_key"))
     kept = last_of_each_key(shared).select("file", "pos", F.col("_key").alias("key"), "entry_type", "fields")
@@ -167,6 +179,7 @@ def entries_of(texts: DataFrame) -> DataFrame:
 
 
 def read_bib(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Entries of .bib files, or of all in a folder."""
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    return entries_of(texts)
+    """Entries of .bib files, or of all in a folder. A large file is read by many tasks."""
+    from refsift.sources.bibsplit import read_lines, split_entries
+
+    return split_entries(read_lines(spark, path))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from refsift.operators.reporting import result_json, running_counts
+from refsift.shared import scratch, stored
 from refsift.sources.bibtex import entries_of
 
 FILES_DDL = "value string"
@@ -41,8 +42,9 @@ def watch(spark: SparkSession, folder: str, check: Callable[[DataFrame], DataFra
     """
 
     def batch(texts: DataFrame, number: int) -> None:
-        entries = entries_of(texts).select(F.concat_ws("#", "file", "key").alias("key"), "entry_type", "fields")
-        sink(check(entries), number)
+        with scratch(spark):  # what a batch leaves in the shared folder goes with it
+            entries = stored(entries_of(texts).select(F.concat_ws("#", "file", "key").alias("key"), "entry_type", "fields"))
+            sink(check(entries), number)
 
     return arriving_entries(spark, folder, files_per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
