@@ -6,7 +6,7 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as yes.
@@ -38,6 +38,16 @@ class Limits:
         return cls(max(0, number("REFSIFT_MAX_FILE_BYTES", 0, env)), max(0, number("REFSIFT_MAX_ENTRIES", 0, env)))
 
 
+def within_size(spark: SparkSession, path: str | list[str], limits: Limits) -> tuple[list[str], list[str]]:
+    """Paths of the files there that may be read, and of those that are too large: by the sizes that the file system lists, so that no
+    byte of a file that is too large is read."""
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
+    if not limits.bytes_a_file:
+        return [r["path"] for r in sizes.collect()], []
+    told = sizes.select("path", (F.col("length") > limits.bytes_a_file).alias("over")).collect()
+    return [r["path"] for r in told if not r["over"]], [r["path"] for r in told if r["over"]]
+
+
 def too_large(files: DataFrame, limits: Limits) -> DataFrame:
     """files: file and text. Adds bytes and too_large; who reads them refuses those that are, and can say which."""
     size = F.octet_length(F.coalesce("text", F.lit("")))
