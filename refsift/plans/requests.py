@@ -1,6 +1,6 @@
 """What to ask sources that are addresses: the requests of each entry, each address once, and what the answers together say.
 
-Nothing here fetches. distinct_requests() is what a fetcher, or a crawl's table, has to answer; answers() joins that to the entries.
+Nothing here fetches. distinct_requests() is what plans.fetch, or a crawl's table, has to answer; answers() joins that to the entries.
 Requests have a step: what the second step says counts only if the first leaves it open. They are key, source, mode, step,
 part (the order within a step), url, accept, title, venue and year.
 """
@@ -8,20 +8,20 @@ part (the order within a step), url, accept, title, venue and year.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from refsift.functions.text import normal_arxiv_any, year_in
 from refsift.operators.entries import field_text
 from refsift.operators.lookup import close_title
 from refsift.schema import CANDIDATE
-from refsift.sources.pages import ICML_VOLUMES, volume_ids
+from refsift.sources.pages import ICML_VOLUMES, icml_volume, volume_ids
 from refsift.sources.payloads import candidates_of, ordered, repository
 
 #: Where the sources are, and the kinds of answers to ask for.
 ARXIV_PAGES, ARXIV_FEED = "https://arxiv.org/abs/", "https://export.arxiv.org/api/query?"
-ICML_VOLUME_PAGES = "https://proceedings.mlr.press/v"
+ICML_INDEX, ICML_VOLUME_PAGES = "https://proceedings.mlr.press/", "https://proceedings.mlr.press/v"
 ANTHOLOGY = "https://aclanthology.org/"
 GITHUB = "https://api.github.com/"
 HTML, FEED, BIBTEX, GITHUB_JSON = "text/html", "application/atom+xml", "text/x-bibtex", "application/vnd.github+json"
@@ -54,16 +54,48 @@ def arxiv_requests(entries: DataFrame) -> DataFrame:
     )
 
 
-def icml_requests(entries: DataFrame, volumes: dict[int, int] = ICML_VOLUMES) -> DataFrame:
-    """The volume of the entry's year, and the one before unless that holds a close title. Years without a volume ask nothing."""
-    known = F.map_from_arrays(*[F.array(*[F.lit(x) for x in xs]) for xs in (volumes, volumes.values())])
+def _icml_years(entries: DataFrame) -> DataFrame:
     year = year_in(field_text("year"))
+    return entries.filter("title <> ''").select("key", "title", "venue", F.inline(F.array(*[F.struct(F.lit(step).alias("step"), (year - step).cast("int").alias("year")) for step in (0, 1)]))).filter("year IS NOT NULL")
 
-    def of(year: Column, step: int) -> Column:
-        url = F.concat(F.lit(ICML_VOLUME_PAGES), F.try_element_at(known, year).cast("string"), F.lit("/"))
-        return _request("icml", "title", step, 0, url, HTML, year)
 
-    return _each(entries.filter("title <> ''"), of(year, 0), of(year - 1, 1))
+def _icml_table(spark: SparkSession, volumes: dict[int, int]) -> DataFrame:
+    return spark.createDataFrame(sorted(volumes.items()), "year int, volume int")
+
+
+def icml_index_requests(entries: DataFrame, volumes: dict[int, int] = ICML_VOLUMES) -> DataFrame:
+    """The publisher's index page (url, accept), if a year that entries need isn't in the table of volumes."""
+    open_ = _icml_years(entries).select("year").distinct().join(F.broadcast(_icml_table(entries.sparkSession, volumes)), "year", "left_anti")
+    return open_.select(F.lit(ICML_INDEX).alias("url"), F.lit(HTML).alias("accept")).distinct()
+
+
+@F.pandas_udf(IntegerType())
+def _volume_on(page: pd.Series, year: pd.Series) -> pd.Series:
+    found = []
+    for body, y in zip(page, year, strict=True):
+        try:
+            found.append(icml_volume(int(y), body or ""))
+        except ValueError:
+            found.append(None)
+    return pd.Series(found, dtype="Int64")
+
+
+def icml_volumes(entries: DataFrame, index_page: DataFrame, volumes: dict[int, int] = ICML_VOLUMES) -> DataFrame:
+    """year and volume of each year that entries need: from the table, or from the index page (body; one row, or none)."""
+    known = F.broadcast(_icml_table(entries.sparkSession, volumes))
+    years = _icml_years(entries).select("year").distinct()
+    page = F.broadcast(index_page.select("body").limit(1))
+    read = years.join(known, "year", "left_anti").join(page).select("year", _volume_on("body", "year").alias("volume")).filter("volume IS NOT NULL")
+    return years.join(known, "year").unionByName(read)
+
+
+def icml_requests(entries: DataFrame, volumes: dict[int, int] | DataFrame = ICML_VOLUMES) -> DataFrame:
+    """The volume of the entry's year, and the one before unless that holds a close title. volumes: a table, or what icml_volumes() gives, whose
+    rows are years and so few. Years without a volume ask nothing."""
+    held = volumes if isinstance(volumes, DataFrame) else _icml_table(entries.sparkSession, volumes)
+    rows = _icml_years(entries).join(F.broadcast(held), "year")
+    url = F.concat(F.lit(ICML_VOLUME_PAGES), F.col("volume").cast("string"), F.lit("/"))
+    return rows.select("key", F.lit("icml").alias("source"), F.lit("title").alias("mode"), "step", F.lit(0).alias("part"), url.alias("url"), F.lit(HTML).alias("accept"), "title", "venue", "year")
 
 
 @F.pandas_udf(ArrayType(StringType()))
