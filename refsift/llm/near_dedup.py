@@ -48,7 +48,7 @@ REGISTERS, BANDS, ROWS, THRESHOLD = 128, 25, 5, 0.8
 LEAST_AGREEMENT = 0.59
 #: Tile (i, j) of a bucket has the number i * TILES + j.
 TILES = 1 << 31
-BLOCK_ROWS, BLOCK_CHARS, BROADCAST_ROWS, LARGE_CLASS = 768, 16 << 20, 1_000_000, 1024
+BLOCK_ROWS, BLOCK_CHARS, BROADCAST_ROWS, LARGE_CLASS = 768, 4 << 20, 1_000_000, 1024
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -232,7 +232,7 @@ def _links(source: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
                 if (not also[i] or row[0] < other[0]) and root(row[1]) != root(other[1]) and probability_jaccard(bag(row), bag(other)) >= threshold:
                     found.append((other[0], row[0]))
                     parent[root(other[1])] = root(row[1])
-        if len(bags) > 2 * len(block) + 1024:
+        if len(bags) > len(block) + 512:
             bags.clear()
         if found:
             a, b = zip(*found, strict=True)
