@@ -7,6 +7,7 @@ shipments, its authors the suppliers of its odd lines, and another record of it
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,16 @@ from refsift.functions.similarity import dice, sequence_ratio, token_score
 from refsift.operators import lookup, reporting, worklist
 from refsift.operators.consolidate import evidence_score
 from refsift.operators.entries import entry_columns, specific_title
+from refsift.operators.near_titles import near_titles
 from refsift.operators.scoring import composite, version_key
+from refsift.operators.title_index import TitleIndex
 from refsift.plans import requests, stages
 from refsift.plans.engine import check, counted
 from refsift.plans.registry import DEFAULT_SOURCES, calls
+from refsift.shared import PREFIX, shared_dir
 from refsift.sources.bibsplit import split_entries
 from refsift.sources.bibtex import entries_of
-from refsift.sources.latex import closure, document_keys
+from refsift.sources.latex import closure, document_keys, reached
 from refsift.sources.records import function_answers, parsed, record_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,6 +311,36 @@ def similar_titles_top5(spark, sf_dir):
     return lookup.similar_titles(*_first_lines(spark, sf_dir), k=5, like=lookup.Likeness(0.4)).select("key", "record_id", "pos", F.round("overlap", 9).alias("overlap"))
 
 
+_PARTS_SQL = f"""t AS (SELECT p_partkey AS id, 's' || p_partkey % 3 AS source, {_KEY.format("p_name || ' ' || p_type || ' ' || p_brand")} AS k FROM part),
+d AS (SELECT k, list_distinct(string_split(k, ' ')) AS w FROM t GROUP BY k),
+m AS (SELECT a.k AS ak, b.k AS bk, 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) AS overlap FROM d a, d b),
+f AS (SELECT ak, bk, source, id, overlap, row_number() OVER (PARTITION BY ak, source ORDER BY ak = bk DESC, overlap DESC, id)::INT AS pos FROM m JOIN t ON t.k = bk WHERE overlap >= 0.6 QUALIFY pos <= 3)"""
+
+
+def _part_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("record_id"), F.concat(F.lit("s"), (F.col("p_partkey") % 3).cast("string")).alias("source"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
+
+
+@query(f"WITH {_PARTS_SQL} SELECT t.id::VARCHAR AS key, f.id AS record_id, f.source, f.pos, round(f.overlap, 9)::DOUBLE AS overlap FROM t JOIN f ON t.k = f.ak")
+def title_index_search(spark, sf_dir):
+    """All parts' titles looked up in a stored index of them, which grew in three generations."""
+    held = _part_titles(spark, sf_dir)
+    third = F.pmod(F.xxhash64("record_id"), F.lit(3))
+    index = TitleIndex.build(held.filter(third == 0), f"{shared_dir(spark)}/{PREFIX}{uuid4().hex}", k=3)
+    index = index.add(held.filter(third == 1)).add(held.filter(third == 2))
+    found = index.similar(held.select(F.col("record_id").cast("string").alias("key"), "title"), lookup.Likeness(0.6))
+    return found.select("key", "record_id", "source", "pos", F.round("overlap", 9).alias("overlap"))
+
+
+@query()
+def near_titles_misspelt(spark, sf_dir):
+    """Each part's title without the second letter of every word, and the titles nearest to it as sequences: no word finds them."""
+    held = _part_titles(spark, sf_dir)
+    words = F.transform(F.split("title", " "), lambda w: F.concat(F.substring(w, 1, 1), F.substring(w, 3, 99)))
+    asked = held.select(F.col("record_id").cast("string").alias("key"), F.array_join(words, " ").alias("title"))
+    return near_titles(asked, held, T.normal_text(F.col("title")), 3, 0.85).select("key", "record_id", "pos", F.round("ratio", 9).alias("ratio"))
+
+
 # Sets
 
 
@@ -603,6 +637,20 @@ def include_closure(spark, sf_dir):
     return closure(edges, nation.filter("n_nationkey = 0").select(F.col("n_regionkey").cast("long").alias("node")))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS a, p_partkey * 7 % 1999 AS b FROM part), r AS (SELECT n_nationkey::BIGINT AS root, n_nationkey::BIGINT * 20 AS node FROM nation UNION SELECT root, b::BIGINT FROM r JOIN e ON a = node)
+SELECT root, count(*) AS nodes, min(node) AS least, max(node) AS most FROM r GROUP BY root"""
+)
+def include_reached(spark, sf_dir):
+    """From one part of each nation along all parts' links: long chains, from 25 roots at once."""
+    k = F.col("p_partkey").cast("long")
+    edges = table(spark, sf_dir, "part").select(k.alias("a"), (k * 7 % 1999).alias("b"))
+    own = F.col("n_nationkey").cast("long")
+    roots = table(spark, sf_dir, "nation").select(own.alias("root"), (own * 20).alias("node"))
+    found = reached(edges, roots).withColumnRenamed("root", "start").join(roots.select("root", F.col("node").alias("start")), "start")
+    return found.groupBy("root").agg(F.count("*").alias("nodes"), F.min("node").alias("least"), F.max("node").alias("most"))
+
+
 # The whole
 
 
