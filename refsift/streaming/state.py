@@ -115,6 +115,8 @@ def asked_once(events: DataFrame, answer_seconds: float = 3600, error_seconds: f
     address that has to be asked now, and `answer` with what it said for each key that asked for it.
 
     An address that is being asked isn't asked again, and who asks meanwhile waits for its answer; an answer holds for answer_seconds, an
-    error for error_seconds, and if nothing comes within patience_seconds the next request asks anew. Answers of a batch count before its requests."""
+    error for error_seconds, and if nothing comes within patience_seconds the next request asks anew. Answers of a batch count before its requests.
+
+    State that expires needs a clock, so a query with it runs on until it is stopped, also with a trigger that takes what is available."""
     ms = [int(1000 * s) for s in (answer_seconds, error_seconds, patience_seconds)]
     return events.groupBy("url", "accept").transformWithStateInPandas(_Asked(*ms), "kind string, url string, accept string, key string, outcome string, body string", "Append", "ProcessingTime")

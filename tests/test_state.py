@@ -1,11 +1,12 @@
 """What streams remember when they stop and start again."""
 
-import time
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from refsift.plans.settings import Limits, within_size
-from refsift.streaming.state import asked_once, kept_results, state_store, watch_counts
+from refsift.streaming.state import _Asked, kept_results, watch_counts
 from refsift.streaming.watch import watch
 
 
@@ -31,27 +32,43 @@ def test_counts_go_on_after_a_restart(spark, tmp_path):
     assert round_("c.bib", "@misc{u9, title={Four}}") == {"unconfirmed": (1, 2)}
 
 
-def test_no_address_is_asked_twice_until_it_expires(spark, tmp_path):
-    schema, seen = "url string, accept string, key string, outcome string, body string", []
-
-    def round_(*rows, answer_seconds=36_000, name="long"):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / name / "in"))
-        seen.clear()
-        events = spark.readStream.schema(schema).json(str(tmp_path / name / "in"))
-        told = asked_once(events, answer_seconds, error_seconds=0.001, patience_seconds=36_000)
-        with state_store(spark):
-            query = told.writeStream.foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / name / "cp")).trigger(availableNow=True).start()
-        assert query.awaitTermination(300)
-        return sorted((r["kind"], r["url"], r["key"] or "", r["body"] or "") for r in seen)
-
-    ask = lambda url, key: (url, "json", key, None, None)
-    assert round_(ask("u", "a"), ask("u", "b"), ask("w", "c")) == [("ask", "u", "", ""), ("ask", "w", "", "")]
-    assert round_(ask("u", "d")) == []  # after a restart, still being asked
-    assert round_(("u", "json", None, "ok", "B"), ("w", "json", None, "error", "E"), ask("u", "e")) == [("answer", "u", k, "B") for k in "abde"] + [("answer", "w", "c", "E")]
-    assert round_(ask("w", "f"), ask("u", "g")) == [("answer", "u", "g", "B"), ("ask", "w", "", "")]  # an error is soon forgotten
-    short = {"answer_seconds": 0.001, "name": "short"}
-    assert round_(ask("u", "a"), ("u", "json", None, "ok", "B"), **short) == [("ask", "u", "", "")]  # answers of a batch go to those who waited before
-    assert round_(ask("u", "b"), **short) == []
+class Store:
+    """State of one address, without Spark: values that can be made to expire, and a list."""
+
+    def __init__(self):
+        self.values, self.lists, self.ttl = {}, {}, {}
+
+    def getValueState(self, name, schema, ttl_ms):
+        self.ttl[name] = ttl_ms
+        own = self.values
+        return SimpleNamespace(exists=lambda: name in own, get=lambda: own[name], update=lambda v: own.__setitem__(name, v), clear=lambda: own.pop(name, None))
+
+    def getListState(self, name, schema):
+        own = self.lists.setdefault(name, [])
+        return SimpleNamespace(get=lambda: iter(list(own)), appendList=own.extend, clear=own.clear)
+
+
+def test_no_address_is_asked_twice_until_it_expires():
+    store = Store()
+
+    def batch(*rows):
+        """A batch with a processor of its own, as after a restart."""
+        asked = _Asked(3000, 200, 100)
+        asked.init(store)
+        frame = pd.DataFrame(rows, columns=["key", "outcome", "body"])
+        return sorted((r.kind, r.key or "", r.body or "") for part in asked.handleInputRows(("u", "json"), iter([frame]), None) for r in part.itertuples())
+
+    ask = lambda key: (key, None, None)
+    assert batch(ask("a"), ask("b")) == [("ask", "", "")] and batch(ask("c")) == []
+    assert batch((None, "ok", "B"), ask("d")) == [("answer", k, "B") for k in "abcd"]
+    assert batch(ask("e")) == [("answer", "e", "B")]
+    del store.values["answer"]
+    assert batch(ask("f")) == [("ask", "", "")]
+    del store.values["asked"]  # nothing came in time
+    assert batch(ask("g")) == [("ask", "", "")]
+    assert batch((None, "error", "E")) == [("answer", "f", "E"), ("answer", "g", "E")] and batch(ask("h")) == [("answer", "h", "E")]
+    del store.values["error"]
+    assert batch(ask("i")) == [("ask", "", "")] and store.ttl == {"answer": 3000, "error": 200, "asked": 100}
 
 
 def test_files_that_are_too_large_are_not_read(spark, tmp_path):
