@@ -23,7 +23,8 @@ from refsift.operators.near_titles import near_titles
 from refsift.operators.scoring import composite, version_key
 from refsift.operators.title_index import TitleIndex
 from refsift.plans import requests, stages
-from refsift.plans.engine import check, counted
+from refsift.plans.engine import check, counted, flagged, planned_calls
+from refsift.plans.profiles import BROWSER, FULL
 from refsift.plans.registry import DEFAULT_SOURCES, calls
 from refsift.shared import PREFIX, shared_dir
 from refsift.sources.bibsplit import split_entries
@@ -582,6 +583,25 @@ def browser_decides(spark, sf_dir):
     return rows.groupBy("k").agg(F.collect_list("c").alias("c"), F.max("s").alias("best")).select("k", browser.decides(F.col("c")).alias("decides"), "best")
 
 
+@query(
+    """WITH e AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AS doi, p_partkey % 4 = 0 AS arxiv, p_partkey % 5 = 0 AS url, p_partkey % 7 = 0 AS venue, p_partkey % 11 <> 0 AS title FROM part)
+SELECT profile, k::VARCHAR AS key, source, mode, stage FROM e, (VALUES
+('full', 'arxiv', 'identifier', 2, 'a'), ('full', 'datacite', 'identifier', 3, 'a'), ('full', 'crossref', 'identifier', 5, 'd'), ('full', 'openalex', 'identifier', 6, 'd'),
+('full', 'url', 'title', 1, 'u'), ('full', 'neurips', 'title', 9, 'v'), ('full', 'crossref', 'title', 11, '-'), ('full', 'openalex', 'title', 11, '-'), ('full', 'dblp', 'title', 11, 'n'),
+('browser', 'openalex', 'identifier', 8, 'd'), ('browser', 'crossref', 'identifier', 8, 'd'), ('browser', 'openalex', 'title', 11, 't'), ('browser', 'crossref', 'title', 11, 't')
+) AS s(profile, source, mode, stage, needs)
+WHERE CASE needs WHEN 'a' THEN arxiv WHEN 'd' THEN doi WHEN 'u' THEN url WHEN 'v' THEN venue WHEN 't' THEN title WHEN 'n' THEN NOT (doi OR arxiv OR url OR venue) ELSE true END"""
+)
+def planned_stages(spark, sf_dir):
+    """Parts as entries that have, or lack, an identifier, an address, a venue or a title: the calls that each variant plans for them."""
+    k = F.col("p_partkey")
+    said = {"title": (k % 11 != 0, F.col("p_name")), "doi": (k % 3 == 0, F.concat(F.lit("10.1000/p"), k)), "eprint": (k % 4 == 0, F.lit("2301.00001")), "url": (k % 5 == 0, F.lit("https://example.com/x")), "booktitle": (k % 7 == 0, F.lit("NeurIPS"))}
+    held = F.array_compact(F.array(*[F.when(has, F.struct(F.lit(name).alias("key"), value.alias("value"))) for name, (has, value) in said.items()]))
+    entries = table(spark, sf_dir, "part").select(k.cast("string").alias("key"), F.lit("article").alias("entry_type"), F.map_from_entries(held).alias("fields"))
+    plan = lambda name, profile: planned_calls(flagged(entries, profile), profile=profile).select(F.lit(name).alias("profile"), "key", "source", "mode", "stage")
+    return plan("full", FULL).unionByName(plan("browser", BROWSER))
+
+
 # Running sums over many ranges
 
 

@@ -52,3 +52,8 @@ def watch(spark: SparkSession, folder: str, check: Callable[[DataFrame], DataFra
 def second_pass(results: DataFrame, entries: DataFrame) -> DataFrame:
     """The entries that are still unconfirmed, to be checked against more sources."""
     return entries.join(results.filter(F.col("status") == "unconfirmed").select("key"), "key", "left_semi")
+
+
+def replaced(results: DataFrame, second: DataFrame) -> DataFrame:
+    """Results with those of a second pass in the place of the first ones; an entry that it gave no result keeps its own."""
+    return results.join(second.select("key").distinct(), "key", "left_anti").unionByName(second)
