@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refsift.operators.reporting import issues, report_lines, result_json, status_counts
+from refsift.operators.sentences import NO_DIFFERENCE, SENTENCES, explained, sentences
 from refsift.plans.engine import check_observations
 from refsift.plans.registry import Source
 from refsift.schema import ENTRIES_DDL, OBSERVATIONS_DDL
@@ -113,3 +114,16 @@ def test_reports(results):
     assert sum(r["n"] for r in status_counts(results).collect()) == len(CASES)
     assert '"status":"validated"' in result_json(results).filter(F.col("key") == "same").first()["json"]
     assert report_lines(results).count() == len(CASES)
+
+
+def test_sentences(spark, results):
+    rows = {r["key"]: r for r in explained(results).select("key", "reasons", "sentences").collect()}
+    assert all(r["sentences"][0] != r["reasons"][0] and "{" not in r["sentences"][0] for r in rows.values())
+    assert rows["same"]["sentences"] == [SENTENCES["identifier_and_title_match"]]
+    assert rows["other_year"]["sentences"][1].startswith("year: bib=2023")
+    assert rows["wrong_record_but_found"]["sentences"][1:] == [NO_DIFFERENCE, f"Record under the identifier: arxiv - {OTHER}"]
+    assert rows["official_miss"]["sentences"][0].startswith("Official sources for this venue (1)")
+    assert rows["missing_everywhere"]["sentences"][0].endswith("answered, 3 have no reliable match for the title.")
+    own = spark.createDataFrame([(["mine", "x"],), ([],), (None,)], "reasons array<string>")
+    none = F.lit(None)
+    assert [r[0] for r in own.select(sentences(F.col("reasons"), none, none, none.cast("string"))).collect()] == [["mine", "x"], [], []]
