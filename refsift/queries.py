@@ -31,6 +31,7 @@ from refsift.sources.bibsplit import split_entries
 from refsift.sources.bibtex import entries_of
 from refsift.sources.latex import closure, document_keys, reached
 from refsift.sources.records import function_answers, parsed, record_answers
+from refsift.streaming.watch import replaced, second_pass
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -602,6 +603,26 @@ def planned_stages(spark, sf_dir):
     return plan("full", FULL).unionByName(plan("browser", BROWSER))
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_name AS a, p_type AS b, p_brand AS c FROM part)
+SELECT k, array_to_string(CASE WHEN k % 3 = 0 THEN ['{' || a || ' and ' || b || '}', c] WHEN k % 3 = 1 THEN [a, b, c] ELSE ['\\{' || a, b || '\\}', c] END, '; ') AS names FROM p"""
+)
+def browser_authors(spark, sf_dir):
+    """Name, type and brand of a part as a list of authors: the first two as one in braces, apart, or between escaped braces."""
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, F.format_string("{%s and %s} and %s", "p_name", "p_type", "p_brand")).when(k % 3 == 1, F.format_string("%s AND %s and  %s", "p_name", "p_type", "p_brand")).otherwise(F.format_string("\\{%s and %s\\} and %s and", "p_name", "p_type", "p_brand"))
+    return table(spark, sf_dir, "part").select(k.alias("k"), F.array_join(browser.authors_property(text), "; ").alias("names"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderstatus = 'F' THEN 'validated' WHEN o_orderstatus = 'P' THEN 'needs_review' WHEN o_totalprice > 150000 THEN 'likely_hallucination' ELSE 'unconfirmed' END AS status FROM orders")
+def second_pass_orders(spark, sf_dir):
+    """Orders as results, the open ones unconfirmed; a second pass has a result for those of a high price alone."""
+    key, held = F.col("o_orderkey").cast("string").alias("key"), table(spark, sf_dir, "orders")
+    first = held.select(key, F.when(F.col("o_orderstatus") == "F", "validated").when(F.col("o_orderstatus") == "P", "needs_review").otherwise("unconfirmed").alias("status"))
+    again = second_pass(first, held.select(key, "o_totalprice")).filter(F.col("o_totalprice") > 150000)
+    return replaced(first, again.select("key", F.lit("likely_hallucination").alias("status")))
+
+
 # Running sums over many ranges
 
 
