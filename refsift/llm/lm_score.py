@@ -29,11 +29,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +50,27 @@ END_CLASS = N_CLASSES - 1
 WIDTHS = 10, 10, 8, 8  # children of a node: runs of classes, classes of a run, runs of a class's words, words of a run
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words with A to Z in lower case, parted by ASCII white space."""
-    return text.lower().split()
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, A to Z in lower case and parted by ASCII white space, one after another, and how many each text has."""
+    chars = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+    space = (chars == 32) | ((chars - np.uint8(9)) < 5)
+    stops = np.flatnonzero(space)
+    length = np.diff(stops, prepend=-1) - 1
+    word = length > 0
+    offsets = np.concatenate([[0], np.cumsum(length[word])])
+    sizes = pa.binary() if offsets[-1] < 2**31 else pa.large_binary()
+    own = pa.Array.from_buffers(sizes, len(offsets) - 1, [None, *(pa.py_buffer(x) for x in (offsets.astype(np.int32 if sizes == pa.binary() else np.int64), chars[~space]))])
+    # Each text is followed by one white space, at whose place its words are over.
+    over = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    return own, np.diff(np.cumsum(word)[np.searchsorted(stops, over)], prepend=0)
+
+
+def bytes_of(words: pa.Array) -> list[bytes]:
+    """to_pylist() of binaries without nulls, in a tenth of its time."""
+    _, offsets, held = words.buffers()
+    edges = np.frombuffer(offsets, np.int32 if words.type == pa.binary() else np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    held = held.to_pybytes() if held else b""
+    return [held[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def tail_class(word: bytes) -> int:
@@ -73,30 +91,34 @@ def _cell() -> Column:
 
 
 def _counted(source: Iterator[pa.RecordBatch], limit: int = 200_000) -> Iterator[pa.RecordBatch]:
-    def flushed() -> pa.RecordBatch:
-        words, n = list(tally), list(tally.values())
-        classes = [END_CLASS if w == END else HEAD_CLASSES + tail_class(w) for w in words]
-        tally.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(classes, pa.int32()), pa.array(n, pa.int64())], ["word", "tail", "n"])
-
-    tally: Counter = Counter()
-    for batch in source:
-        for text in batch.column(0).to_pylist():
-            tally.update(tokens(text))
-            tally[END] += 1
-            if len(tally) > limit:
-                yield flushed()
-    if tally:
-        yield flushed()
+    held: list[pa.Table] = []
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    for whole in source:
+        for lo in range(0, whole.num_rows, 256):
+            texts = whole.column(0).slice(lo, 256).to_pylist()
+            tally = words_of(texts)[0].value_counts()
+            words = pa.concat_arrays([tally.field(0).cast(pa.binary()), pa.array([END], pa.binary())])
+            held.append(pa.table({"word": words, "n": pa.concat_arrays([tally.field(1), pa.array([len(texts)], pa.int64())])}))
+            if sum(map(len, held)) > 2 * limit:
+                held = [merged()]
+                if len(held[0]) > limit:
+                    yield from held.pop().to_batches()
+    if held:
+        yield from merged().to_batches()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, tail (the class it has outside the head) and n over all rows of texts (text); the end is END."""
-    return texts.select(F.col("text").cast("binary")).mapInArrow(lean(_counted), "word binary, tail int, n long").groupBy("word", "tail").agg(F.sum("n").alias("n"))
+    counted = texts.select(F.col("text").cast("binary")).mapInArrow(lean(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    tail = F.when(F.col("word") == F.lit(END), END_CLASS).otherwise(HEAD_CLASSES + F.crc32(F.substring("word", -SUFFIX, SUFFIX)) % TAIL_CLASSES)
+    return counted.select("word", tail.cast("int").alias("tail"), "n")
 
 
-def frequent(counts: DataFrame, most: int) -> list:
-    """The most frequent words but END, at most that many: all words from some count on."""
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
+    """word, tail and n of the most frequent words but END, at most that many: all words from some count on."""
     words = counts.filter(F.col("word") != F.lit(END))
     bins = sorted((r["bin"], r["count"]) for r in words.groupBy(F.floor(F.log2("n") * 16).alias("bin")).count().collect())
     kept, least = 0, None
@@ -106,8 +128,9 @@ def frequent(counts: DataFrame, most: int) -> list:
         kept, least = kept + count, bin_
     if least is None:
         return []
-    rows = words.filter(F.floor(F.log2("n") * 16) >= least).select("word", "tail", "n").collect()
-    return sorted(rows, key=lambda r: (-r["n"], r["word"]))
+    # As an Arrow table: rows of Python objects would take the driver tens of times the memory.
+    rows = words.filter(F.floor(F.log2("n") * 16) >= least).select("word", "tail", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return list(zip(*(c.to_pylist() for c in rows.columns), strict=True))
 
 
 # The model
@@ -139,30 +162,32 @@ class Texts:
     """Texts as arrays over all their tokens, ends included."""
 
     def __init__(self, texts: list[bytes], vocabulary: Vocabulary):
-        v, known = vocabulary, vocabulary.words
+        v = vocabulary
+        own, each = words_of(texts)
+        # A dictionary is asked once for each word of these texts, not for each of its places.
+        told = own.dictionary_encode()
+        words = bytes_of(told.dictionary)
+        number = list(map(v.words.get, words))
         self.new: dict[bytes, int] = {}
-        numbers: list[int] = []
-        self.first: list[int] = []
-        for text in texts:
-            self.first.append(len(numbers))
-            parts = tokens(text)
-            found = list(map(known.get, parts))
-            if None in found:
-                found = [self.new.setdefault(w, v.size + len(self.new)) if i is None else i for w, i in zip(parts, found, strict=True)]
-            numbers += found
-            numbers.append(-1)
-        self.n = len(numbers)
+        for i, w in enumerate(words):
+            if number[i] is None:
+                number[i] = self.new[w] = v.size + len(self.new)
+        self.first: list[int] = (np.cumsum(each) - each + np.arange(len(each))).tolist()
+        self.n = len(own) + len(texts)
+        self.number = np.full(self.n, -1, np.int64)
+        self.number[np.arange(len(own)) + np.repeat(np.arange(len(each)), each)] = np.array(number, np.int64)[told.indices.to_numpy()]
         # Number -1, the last of each array, is the end.
         hashes = np.concatenate([v.hashes, np.fromiter(map(zlib.crc32, self.new), np.uint64, len(self.new)), np.zeros(1, np.uint64)])
         endings = np.concatenate([v.endings, np.array([zlib.crc32(w[-SUFFIX:]) for w in self.new] + [0], np.uint64)])
         classes = np.concatenate([v.classes, np.array([HEAD_CLASSES + tail_class(w) for w in self.new] + [END_CLASS], np.int64)])
-        self.number = np.array(numbers, np.int64)
         self.target = classes[self.number]
         h, s = hashes[self.number], endings[self.number]
-        inside = np.where(self.number >= v.head, (h >> np.uint64(8)).astype(np.int64) % CLASS_WORDS, self.number % CLASS_WORDS)
-        self.in_class = np.where(self.number >= 0, inside, -1)
+        # Places in a class are told for each word and not for each of its places, too.
+        inside = (hashes >> np.uint64(8)).astype(np.int64) % CLASS_WORDS
+        inside[: v.head], inside[-1] = np.arange(v.head) % CLASS_WORDS, -1
+        self.in_class = inside[self.number]
         self.tail = self.number >= v.head
-        self.cell = np.where(self.tail, (self.target - HEAD_CLASSES) * CLASS_WORDS + inside, -1)
+        self.cell = np.where(self.tail, (self.target - HEAD_CLASSES) * CLASS_WORDS + self.in_class, -1)
         start = np.zeros(self.n, bool)
         start[self.first] = True
         # Before a text stands an end, and before that another.
@@ -267,14 +292,12 @@ class Learner:
     def _step(self, level: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         """gradient: by child and position, the same for all features. A row that occurs several times gets
         all its gradients, each with the step size after the last of them."""
-        energy, table_ = self.energy[level], self.model.weights[level]
-        flat, width, size = table_.ravel(), table_.shape[1], np.einsum("ij,ij->j", gradient, gradient)
+        energy, table_, size = self.energy[level], self.model.weights[level], np.einsum("ij,ij->j", gradient, gradient)
         for row in rows:
             np.add.at(energy, row, size)
-        change, steps = np.ascontiguousarray(gradient.T), np.float32(-RATE) / np.sqrt(energy.take(rows))
-        for row, step in zip(rows, steps, strict=True):
-            places = (row * width)[:, None] + np.arange(width)
-            np.add.at(flat, places.ravel(), (change * step[:, None]).ravel())
+        for row, step in zip(rows, np.float32(-RATE) / np.sqrt(energy.take(rows)), strict=True):
+            for column, change in zip(table_.T, gradient * step, strict=True):
+                np.add.at(column, row, change)
 
 
 def _learned(source: Iterator[pa.RecordBatch], vocabulary, fresh) -> Iterator[pa.RecordBatch]:
@@ -304,7 +327,7 @@ def _train(learner: Learner, held: list[tuple]) -> None:
     order = np.random.default_rng(len(target)).permutation(len(target))
     for lo in range(0, len(order), BATCH):
         part = order[lo : lo + BATCH]
-        learner.learn(target[part], at[part], features[:, part])
+        learner.learn(target[part], at[part], features.take(part, axis=1))
 
 
 def _averaged(rows: pa.Table) -> pa.Table:
@@ -369,7 +392,7 @@ def score(docs: DataFrame) -> DataFrame:
     training = rows.filter(~F.col("held_out"))
     counts = stored(word_counts(training))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)).alias("ends")).first()
-    known = [(r["word"], r["tail"], r["n"]) for r in frequent(counts, LOOKUP_WORDS)]
+    known = frequent(counts, LOOKUP_WORDS)
     own = Vocabulary(known, totals["ends"])
     head = np.array([n for *_, n in known[: own.head]], float)
     # Tokens of each class, and smoothed mass of the tail classes' cells with one unseen type each.
@@ -390,8 +413,10 @@ def score(docs: DataFrame) -> DataFrame:
         return MaxEnt(leaves, (class_rows(totals["V"]), word_rows(totals["V"])))
 
     vocabulary = spark.sparkContext.broadcast(own)
+    del known, own  # the workers have it; the driver needs its memory
     trained = train(training.select("doc_id", F.col("text").cast("binary")), vocabulary, fresh, totals["N"])
     model = spark.sparkContext.broadcast(trained)
+    del trained
     partial = text_rows(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(lean(lambda it: _scored(it, vocabulary, model, log_mass)), _SCORED_DDL)
     partial = stored(partial.withColumn("row_no", F.monotonically_increasing_id()))
     missing = partial.select("row_no", F.inline("tail")).join(counts.select("word", "n"), "word", "left")

@@ -91,3 +91,39 @@ def test_class_rows_follow_the_words():
 
 def test_learners_follow_the_tokens():
     assert [lm_score.learners(n) for n in (0, 1, 9_000_001, 10**12)] == [1, 1, 2, lm_score.LEARNERS]
+
+
+def test_words_are_those_of_bytes():
+    texts = [b"", b" \x0b", b"A\xff\x1c b\x00 ", b"\x0c\x09\x0d\x0a x", b"Two  two", b"", b"last"]
+    words, each = lm_score.words_of(texts)
+    assert words.to_pylist() == lm_score.bytes_of(words) == [w for t in texts for w in t.lower().split()]
+    assert each.tolist() == [len(t.split()) for t in texts] and [len(x) for x in lm_score.words_of([])] == [0, 0]
+    assert lm_score.bytes_of(words.slice(2, 2)) == words.to_pylist()[2:4] and lm_score.bytes_of(words[:0]) == []
+
+
+def test_a_dictionary_is_asked_once_for_each_word():
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+    own = lm_score.Vocabulary([(b"a", 64, 9), (b"b", 64, 9)], 1)
+    own.words = Asked(own.words)
+    texts = lm_score.Texts([b"a b c a C", b"", b"d a b b c"] * 50, own)
+    assert own.words.n == 4 and texts.new == {b"c": 2, b"d": 3} and texts.first[:4] == [0, 6, 7, 13]
+    assert texts.number[:13].tolist() == [0, 1, 2, 0, 2, -1, -1, 3, 0, 1, 1, 2, -1]
+
+
+def test_frequent_words_come_without_rows(spark, monkeypatch):
+    words = [b"w%d" % i for i in range(3000)] + [b"\xff", "été".encode()]
+    texts = spark.createDataFrame([(bytearray(b" ".join(words[i : i + 50]) + b" w1 w1"),) for i in range(0, len(words), 50)], "text binary")
+    counts = lm_score.word_counts(texts)
+    whole = {bytes(r["word"]): (r["tail"], r["n"]) for r in counts.collect()}
+    each = len(range(0, len(words), 50))
+    assert whole == {w: (64 + lm_score.tail_class(w), 1 + 2 * each * (w == b"w1")) for w in words} | {lm_score.END: (lm_score.END_CLASS, each)}
+    collect = type(counts).collect
+    monkeypatch.setattr(type(counts), "collect", lambda self: r if len(r := collect(self)) < 1000 else 1 / 0)
+    got = lm_score.frequent(counts, 10_000)
+    assert got[0] == (b"w1", whole[b"w1"][0], 1 + 2 * each) and [w for w, *_ in got[1:]] == sorted(set(words) - {b"w1"}) and lm_score.frequent(counts, 1) == got[:1]
